@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["quality"]
+FAMILIES = ["quality", "grids"]
 
 
 def load():

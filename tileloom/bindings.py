@@ -20,12 +20,12 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
         "(l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey as pid",
         "((l_orderkey * 7919 + l_partkey * 31) % 10007) / 1000.7D as x",
         "((l_partkey * 104729 + l_orderkey * 17) % 10009) / 1000.9D as y",
-        "l_extendedprice / 5000.0D as z",
+        "l_extendedprice / 4987.3D as z",
         "l_quantity as intensity",
         "cast(l_linenumber as double) as return_number",
         "7.0D as number_of_returns",
         "case when l_returnflag = 'R' then 2 when l_linestatus = 'F' then 7 else 1 end as classification",
-        "l_extendedprice / 5000.0D as hag",
+        "l_extendedprice / 4987.3D as hag",
         "l_suppkey as suppkey",
         "l_tax as tax",
         "l_discount as discount",

@@ -12,7 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tileloom.session import cut_lineage
+
 ROWS_PER_BUCKET = 100_000
+HASH_BUCKETS = 65_536
 HOT_GROUP_ROWS = 2_000_000
 
 
@@ -28,46 +31,37 @@ def lowest_n(
     draw: Column,
     keep: Callable[[Column], Column] | int,
     tiebreak: list[str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = HASH_BUCKETS,
 ) -> DataFrame:
     """Exactly the rows with the n lowest draws per group.
 
     ``draw`` is uniform in [0, 1), so ``floor(draw * buckets)`` spreads any group
-    evenly. Buckets below the n-th row are kept whole, buckets above are dropped
-    whole, and only the bucket the n-th row falls into is ranked.
+    evenly. The counts per bucket (at most ``buckets`` rows per group) tell in which
+    bucket the n-th row falls; buckets above are dropped, and rows are only ranked
+    against the rows of their own bucket.
 
     ``keep`` is a number, or a function from the group's row count to n.
     """
     wanted = keep if callable(keep) else (lambda _: F.lit(keep))
     columns = df.columns
-    rows = df.withColumn("_u", draw)
-    sizes = (
-        rows.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_total"))
-        .withColumn("_want", wanted(F.col("_total")).cast("long"))
-        .withColumn("_nb", F.ceil(F.col("_total") / F.lit(rows_per_bucket)))
-    )
-    rows = rows.join(sizes, group).withColumn("_b", F.floor(F.col("_u") * F.col("_nb")))
-    order = Window.partitionBy(*group).orderBy("_b")
-    filled = (
-        rows.where(F.col("_total") > F.col("_want"))
-        .groupBy(*group, "_b")
+    rows = df.withColumn("_u", draw).withColumn("_b", F.floor(F.col("_u") * F.lit(buckets)))
+    whole = Window.partitionBy(*group)
+    limit = (
+        rows.groupBy(*group, "_b")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.sum("_c").over(order) - F.col("_c"))
-    )
-    small = rows.where(F.col("_total") <= F.col("_want")).select(*columns)
-    big = rows.where(F.col("_total") > F.col("_want")).join(filled, [*group, "_b"])
-    whole = big.where(F.col("_before") + F.col("_c") <= F.col("_want")).select(*columns)
-    edge = big.where(
-        (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_c") > F.col("_want"))
+        .withColumn("_want", wanted(F.sum("_c").over(whole)).cast("long"))
+        .withColumn("_before", F.sum("_c").over(whole.orderBy("_b")) - F.col("_c"))
+        .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c")))
+        .select(*group, F.col("_b").alias("_last"), (F.col("_want") - F.col("_before")).alias("_left"))
     )
     inside = Window.partitionBy(*group, "_b").orderBy("_u", *tiebreak)
-    cut = (
-        edge.withColumn("_rn", F.row_number().over(inside))
-        .where(F.col("_before") + F.col("_rn") <= F.col("_want"))
+    return (
+        rows.join(limit, group)
+        .where(F.col("_b") <= F.col("_last"))
+        .withColumn("_rn", F.row_number().over(inside))
+        .where((F.col("_b") < F.col("_last")) | (F.col("_rn") <= F.col("_left")))
         .select(*columns)
     )
-    return small.unionByName(whole).unionByName(cut)
 
 
 def width_bucket(hist, keys, value, name, rows_per_bucket):
@@ -92,10 +86,12 @@ def cumulative_histogram(
 
     Equal values meet in a partial aggregate first. Two rounds of equal-width
     buckets follow: the second splits what a long tail crowded into one bucket of
-    the first, measured on a logarithmic scale.
+    the first, measured on a logarithmic scale. The histogram is written once, as
+    the steps below read it several times.
     """
     w = F.lit(1) if weight is None else weight
     hist = df.groupBy(*group, value).agg(F.sum(w).alias("c"))
+    hist = cut_lineage(hist)
     scaled = F.signum(F.col(value)) * F.log1p(F.abs(F.col(value)))
     hist = hist.withColumn("_t", scaled)
     hist = width_bucket(hist, group, "_t", "_b1", rows_per_bucket)
@@ -140,6 +136,12 @@ def _interpolated(hist, group, value, ps):
     return got.select(*group, F.array(*values).alias("q"))
 
 
+def has_hot_group(df: DataFrame, group: list[str], most: int) -> bool:
+    """Whether any group has more rows than one task should hold (one small job)."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.where(F.col("_n") > most).isEmpty()
+
+
 def percentiles(
     df: DataFrame,
     group: list[str],
@@ -150,24 +152,24 @@ def percentiles(
     """Exact linear-interpolated percentiles per group, as an array column ``q``.
 
     Ordinary groups use the built-in aggregate, whose state is one value-to-count
-    map per group. Groups beyond ``hot_rows`` rows (at most rows / hot_rows of
-    them) go through the bucketed histogram, so no task holds such a group.
-    Null values are left out.
+    map per group. The group sizes are measured first; when some group is larger
+    than ``hot_rows`` those groups go through the bucketed histogram instead, so no
+    task ever holds one. Null values are left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, value)
+    built_in = F.percentile(value, F.array(*[F.lit(float(p)) for p in ps])).alias("q")
+    if not has_hot_group(rows, group, hot_rows):
+        return rows.groupBy(*group).agg(built_in)
+    rows = cut_lineage(rows)
     hot = (
         rows.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
         .select(*group)
     )
-    usual = (
-        rows.join(hot, group, "left_anti")
-        .groupBy(*group)
-        .agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
-    )
+    usual = rows.join(hot, group, "left_anti").groupBy(*group).agg(built_in)
     crowded = cumulative_histogram(rows.join(hot, group, "left_semi"), group, value)
-    return usual.unionByName(_interpolated(crowded, group, value, ps))
+    return usual.unionByName(_interpolated(cut_lineage(crowded), group, value, ps))
 
 
 def named_percentiles(df, group, value, names: dict[str, float], **options) -> DataFrame:
