@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["quality", "grids"]
+FAMILIES = ["quality", "grids", "places", "nearest"]
 
 
 def load():

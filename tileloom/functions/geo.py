@@ -144,18 +144,19 @@ def transform_box(df, transform, box: dict[str, Column], steps: int = 21):
     """
     ts = F.array(*[F.lit(i / (steps - 1)) for i in range(steps)])
     x0, y0, x1, y1 = (box[n] for n in BOX)
-    edges = []
-    for fx, fy in (
-        (lambda t: x0 + (x1 - x0) * t, lambda t: y0),
-        (lambda t: x0 + (x1 - x0) * t, lambda t: y1),
-        (lambda t: x0, lambda t: y0 + (y1 - y0) * t),
-        (lambda t: x1, lambda t: y0 + (y1 - y0) * t),
-    ):
-        edges.append(
-            F.transform(ts, lambda t, fx=fx, fy=fy: F.struct(*[
-                c.alias(n) for c, n in zip(transform(fx(t), fy(t)), ("px", "py"))
-            ]))
-        )
+
+    def edge(px, py):
+        def point(t):
+            x, y = transform(px(t), py(t))
+            return F.struct(x.alias("px"), y.alias("py"))
+
+        return F.transform(ts, point)
+
+    along_x, along_y = (lambda t: x0 + (x1 - x0) * t), (lambda t: y0 + (y1 - y0) * t)
+    edges = [
+        edge(along_x, lambda t: y0), edge(along_x, lambda t: y1),
+        edge(lambda t: x0, along_y), edge(lambda t: x1, along_y),
+    ]
     ring = F.concat(*edges)
     return df.withColumn("_ring", ring).select(
         *df.columns,
