@@ -18,20 +18,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tileloom.session import cut_lineage
 
 AXES = ("x", "y", "z")
-LEAF = 24
+LEAF = 64
 MAX_DEPTH = 16
 
 
 def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
-    """Origin and side of the cube around both clouds of a group."""
-    both = a.select(*group, *AXES).unionByName(b.select(*group, *AXES))
+    """Origin and side of the cube around both clouds of a group, and the targets' number."""
+    both = a.select(*group, *AXES, F.lit(0).alias("_t")).unionByName(
+        b.select(*group, *AXES, F.lit(1).alias("_t"))
+    )
     ends = both.groupBy(*group).agg(
-        *[F.min(c).alias(f"_{c}0") for c in AXES], *[F.max(c).alias(f"_{c}1") for c in AXES]
+        *[F.min(c).alias(f"_{c}0") for c in AXES], *[F.max(c).alias(f"_{c}1") for c in AXES],
+        F.sum("_t").alias("_targets"),
     )
     side = F.greatest(*[F.col(f"_{c}1") - F.col(f"_{c}0") for c in AXES])
-    return ends.select(
-        *group, *[f"_{c}0" for c in AXES], F.when(side > 0, side).otherwise(F.lit(1.0)).alias("_side")
-    )
+    return cut_lineage(ends.select(
+        *group, *[f"_{c}0" for c in AXES], F.when(side > 0, side).otherwise(F.lit(1.0)).alias("_side"),
+        "_targets",
+    ))
 
 
 def _node(level: Column, depth: int, ix: Column, iy: Column, iz: Column) -> Column:
@@ -45,7 +49,7 @@ def _coded(points: DataFrame, frames: DataFrame, group: list[str], depth: int) -
     for c in AXES:
         share = (F.col(c) - F.col(f"_{c}0")) / F.col("_side") * F.lit(float(n))
         out = out.withColumn(f"_i{c}", F.least(F.floor(share), F.lit(n - 1)))
-    return out.drop("_side", *[f"_{c}0" for c in AXES])
+    return out.drop("_side", "_targets", *[f"_{c}0" for c in AXES])
 
 
 def _tree(coded: DataFrame, group: list[str], depth: int, leaf: int) -> DataFrame:
@@ -77,29 +81,34 @@ def _tree(coded: DataFrame, group: list[str], depth: int, leaf: int) -> DataFram
     ))
 
 
-def _steps(nodes: DataFrame, group: list[str], tag: str) -> DataFrame:
+def _steps(nodes: DataFrame, key: list[str]) -> DataFrame:
     """One descent step: from a node to its children, or from a leaf to itself."""
     boxes = [f"_{e}{c}" for e in ("lo", "hi") for c in AXES]
-    named = [F.col(n).alias(f"{tag}{n}") for n in ("_n", *boxes)]
-    splits = nodes.where(~F.col("_leaf")).select(*group, F.col("_id").alias("_parent"))
-    down = nodes.where(F.col("_level") > 0).join(splits, [*group, "_parent"], "left_semi")
-    stay = nodes.where(F.col("_leaf"))
-    return down.select(
-        *group, F.col("_parent").alias(tag), F.col("_id").alias(f"{tag}_next"), *named
-    ).unionByName(stay.select(*group, F.col("_id").alias(tag), F.col("_id").alias(f"{tag}_next"), *named))
+    splits = nodes.where(~F.col("_leaf")).select(*key, F.col("_id").alias("_parent"))
+    down = nodes.where(F.col("_level") > 0).join(splits, [*key, "_parent"], "left_semi")
+    stay = nodes.where(F.col("_leaf")).withColumn("_parent", F.col("_id"))
+    return cut_lineage(down.unionByName(stay).select(*key, "_parent", "_id", "_n", *boxes))
 
 
-def _leaf_of_cell(nodes: DataFrame, group: list[str], depth: int, tag: str) -> DataFrame:
+def _steps_of(steps: DataFrame, group: list[str], tag: str) -> DataFrame:
+    boxes = [f"_{e}{c}" for e in ("lo", "hi") for c in AXES]
+    return steps.where(F.col("_t") == tag).select(
+        *group, F.col("_parent").alias(tag), F.col("_id").alias(f"{tag}_next"),
+        *[F.col(n).alias(f"{tag}{n}") for n in ("_n", *boxes)],
+    )
+
+
+def _leaf_of_cell(nodes: DataFrame, key: list[str], depth: int) -> DataFrame:
     """Deepest cell to the leaf it belongs to: the first leaf on the way from the root."""
     idx = [f"_i{c}" for c in AXES]
-    cells = nodes.where(F.col("_level") == depth).select(*group, *idx)
+    cells = nodes.where(F.col("_level") == depth).select(*key, *idx)
     ways = cells.withColumn("_level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(depth).cast("long"))))
     shift = F.pow(F.lit(2.0), F.lit(depth) - F.col("_level"))
     part = [F.floor(F.col(i) / shift).cast("long") for i in idx]
     ways = ways.withColumn("_id", _node(F.col("_level"), depth, *part))
-    leaves = nodes.where(F.col("_leaf")).select(*group, "_id")
-    return ways.join(leaves, [*group, "_id"]).groupBy(*group, *idx).agg(
-        F.min_by("_id", "_level").alias(tag)
+    leaves = nodes.where(F.col("_leaf")).select(*key, "_id")
+    return ways.join(leaves, [*key, "_id"]).groupBy(*key, *idx).agg(
+        F.min_by("_id", "_level").alias("_own")
     )
 
 
@@ -144,23 +153,27 @@ def nearest(
     else:
         copies = Window.partitionBy(*spot).orderBy("pid")
         b = b.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= need).drop("_c")
-    frames = _frames(queries, b, group)
-    largest = b.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    depth = _depth_for(largest, leaf)
+    frames = _frames(queries, targets, group)
+    depth = _depth_for(frames.agg(F.max("_targets")).first()[0] or 0, leaf)
+    key = [*group, "_t"]
+    tagged = queries.select(*group, F.lit("a").alias("_t"), *AXES).unionByName(
+        b.select(*group, F.lit("b").alias("_t"), *AXES)
+    )
     while True:
-        coded_b = _coded(b, frames, group, depth)
-        nodes_b = _tree(coded_b, group, depth, leaf)
-        fullest = nodes_b.where(F.col("_level") == depth).agg(F.max("_n")).first()[0] or 0
+        nodes = _tree(_coded(tagged, frames, group, depth), key, depth, leaf)
+        deepest = nodes.where((F.col("_level") == depth) & (F.col("_t") == "b"))
+        fullest = deepest.agg(F.max("_n")).first()[0] or 0
         if fullest <= 8 * max(leaf, need) or depth >= MAX_DEPTH:
             break
         depth = min(MAX_DEPTH, depth + 3)
-    coded_a = _coded(queries, frames, group, depth)
-    nodes_a = _tree(coded_a, group, depth, leaf)
 
-    step_a = cut_lineage(_steps(nodes_a, group, "a"))
-    step_b = cut_lineage(_steps(nodes_b, group, "b"))
-    root = lambda nodes, tag: nodes.where(F.col("_level") == 0).select(*group, F.col("_id").alias(tag))
-    pairs = root(nodes_a, "a").join(root(nodes_b, "b"), group)
+    steps = _steps(nodes, key)
+    step_a, step_b = _steps_of(steps, group, "a"), _steps_of(steps, group, "b")
+    roots = nodes.where(F.col("_level") == 0).groupBy(*group).agg(
+        F.max(F.when(F.col("_t") == "a", F.col("_id"))).alias("a"),
+        F.max(F.when(F.col("_t") == "b", F.col("_id"))).alias("b"),
+    )
+    pairs = roots.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     by_query = Window.partitionBy(*group, "a_next")
     boxes_b = [f"b_{e}{c}" for e in ("lo", "hi") for c in AXES]
     for _ in range(depth):
@@ -175,9 +188,14 @@ def nearest(
         )
 
     cell = [*group, *[f"_i{c}" for c in AXES]]
-    drop = [f"_i{c}" for c in AXES]
-    a_points = coded_a.join(_leaf_of_cell(nodes_a, group, depth, "a"), cell).drop(*drop)
-    b_points = coded_b.join(_leaf_of_cell(nodes_b, group, depth, "b"), cell).select(
+    owner = _leaf_of_cell(nodes, key, depth)
+
+    def with_leaf(points, tag):
+        own = owner.where(F.col("_t") == tag).drop("_t").withColumnRenamed("_own", tag)
+        return _coded(points, frames, group, depth).join(own, cell).drop(*[f"_i{c}" for c in AXES])
+
+    a_points = with_leaf(queries, "a")
+    b_points = with_leaf(b, "b").select(
         *group, "b", F.col("pid").alias("n_pid"), *[F.col(c).alias(f"n_{c}") for c in AXES]
     )
     away = None
