@@ -115,21 +115,27 @@ def samples_by_model(metrics: DataFrame, models: list[str], require: str = "any"
     return wide.drop(*[f"_has_{m}" for m in models])
 
 
-def balanced_shards(sizes: DataFrame, workers: int, rows_per_bucket: int = 100_000) -> DataFrame:
+def balanced_shards(sizes: DataFrame, workers: int, buckets: int = 4096) -> DataFrame:
     """Tiles dealt to shards by falling size, back and forth.
 
-    The position in size order comes from cumulated size counts; tiles of equal size
-    are ordered by hash inside their own size only.
+    A tile's position comes from cumulated counts: of larger sizes (one row per
+    distinct size), of lower hash buckets within its size, and its rank inside the
+    bucket. So a size that a third of all tiles share is not sorted in one task.
     """
-    counts = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("_c"))
+    rows = sizes.withColumn("_b", F.floor(uniform("shard", F.col("tile_id")) * buckets))
+    counts = rows.groupBy("size", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    per_size = counts.groupBy("size").agg(F.sum("_c").alias("_cs"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("size").desc())
-    # one row per distinct size
-    starts = counts.withColumn("_start", F.sum("_c").over(order) - F.col("_c")).select("size", "_start")
-    inside = Window.partitionBy("size").orderBy("tile_id")
-    ix = F.col("_start") + F.row_number().over(inside) - 1
+    larger = per_size.withColumn("_larger", F.sum("_cs").over(order) - F.col("_cs")).drop("_cs")
+    lower = counts.withColumn(
+        "_lower", F.sum("_c").over(Window.partitionBy("size").orderBy("_b")) - F.col("_c")
+    ).drop("_c")
+    starts = lower.join(larger, "size")
+    inside = Window.partitionBy("size", "_b").orderBy("tile_id")
+    ix = F.col("_larger") + F.col("_lower") + F.row_number().over(inside) - 1
     turn = F.pmod(ix, F.lit(2 * workers))
     shard = F.when(turn < workers, turn).otherwise(F.lit(2 * workers - 1) - turn)
-    return sizes.join(starts, "size").select("tile_id", "size", shard.cast("int").alias("shard"))
+    return rows.join(starts, ["size", "_b"]).select("tile_id", "size", shard.cast("int").alias("shard"))
 
 
 def shard_report(shards: DataFrame) -> DataFrame:
