@@ -361,6 +361,7 @@ def capped_shares(weights: DataFrame, total: int, cap: float | None, rounds: int
 
     The common factor is found from a few global sums.
     """
+    weights = cut_lineage(weights)
     sums = weights.agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")).first()
     if not sums["n"]:
         return weights.withColumn("expected", F.lit(0.0))
@@ -446,22 +447,26 @@ def _clipped_share(scores: DataFrame, column: str, p: float) -> Column:
 
 def sampling_weights(scores: DataFrame) -> DataFrame:
     """Softmax of both scores (T = 0.1 and 0.05), mixed 0.9 to 0.1, summing to 1."""
+    # One row per tile, read by several global aggregates: written once between the steps.
+    scores = cut_lineage(scores)
     shares = scores.withColumn("norm_complexity", _clipped_share(scores, "complexity", 0.99)).withColumn(
         "norm_z_diff", _clipped_share(scores, "z_diff", 0.97)
     )
-    raw = shares.withColumn("_a", F.exp(F.col("norm_complexity") / 0.1)).withColumn(
+    raw = cut_lineage(shares).withColumn("_a", F.exp(F.col("norm_complexity") / 0.1)).withColumn(
         "_b", F.exp(F.col("norm_z_diff") / 0.05)
     )
     sums = totals(raw, a=F.sum("_a"), b=F.sum("_b"))
     mixed = raw.withColumn(
         "_p", F.lit(0.9) * F.col("_a") / (sums["a"] + 1e-10) + F.lit(0.1) * F.col("_b") / (sums["b"] + 1e-10)
     )
+    mixed = cut_lineage(mixed)
     whole = totals(mixed, s=F.sum("_p"))["s"]
     return mixed.select("tile_id", "complexity", "z_diff", "norm_complexity", "norm_z_diff", (F.col("_p") / whole).alias("p"))
 
 
 def weight_diagnostics(weights: DataFrame, total: int) -> DataFrame:
     """Ratios to uniform, expected draws at percentiles and the share of the top 5 %."""
+    weights = cut_lineage(weights)
     names = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     q = global_percentiles(weights, "p", names)
     top = global_percentiles(weights, "z_diff", {"t": 0.95})["t"]
