@@ -50,8 +50,8 @@ def _bisect_sql(most: int, start: float, rounds: int) -> str:
     parts = [f"s0 as (select tile_id, {start}::double as lo, {start * 10}::double as hi, null::double as best, null::bigint as bn from uav group by 1)"]
     for i in range(rounds):
         parts.append(
-            f"n{i} as (select tile_id, count(distinct (floor((x - x0) / ((lo + hi) / 200)), floor((y - y0) / ((lo + hi) / 200)), "
-            f"floor((z - z0) / ((lo + hi) / 200 * 1.0::double)))) as n from uav join o using (tile_id) join s{i} using (tile_id) where hi - lo > 0.5 group by 1)"
+            f"n{i} as (select tile_id, count(distinct (floor((x - x0) / ((lo + hi) / 2 / 100)), floor((y - y0) / ((lo + hi) / 2 / 100)), "
+            f"floor((z - z0) / ((lo + hi) / 2 / 100 * 1.0::double)))) as n from uav join o using (tile_id) join s{i} using (tile_id) where hi - lo > 0.5 group by 1)"
         )
         parts.append(
             f"s{i + 1} as (select tile_id, case when n > {most} then (lo + hi) / 2 else lo end as lo, case when n <= {most} then (lo + hi) / 2 else hi end as hi, "

@@ -10,12 +10,13 @@ AXES = ("x", "y", "z")
 
 
 def _origins(points: DataFrame) -> DataFrame:
-    return points.groupBy("tile_id").agg(*[F.min(a).alias(f"_{a}0") for a in AXES])
+    return points.groupBy("tile_id").agg(
+        F.count(F.lit(1)).alias("n_points"), *[F.min(a).alias(f"_{a}0") for a in AXES]
+    )
 
 
-def _voxels(points: DataFrame, sizes: DataFrame, ratio: float) -> DataFrame:
-    """Points of the tiles in ``sizes`` (tile_id, size in metres) with voxel indices."""
-    frame = _origins(points).join(sizes.select("tile_id", "size"), "tile_id")
+def _voxels(points: DataFrame, frame: DataFrame, ratio: float) -> DataFrame:
+    """Points with voxel indices; ``frame`` has tile_id, the tile's least coordinates and ``size``."""
     rows = points.join(frame, "tile_id")
     for a in AXES:
         edge = F.col("size") * F.lit(ratio if a == "z" else 1.0)
@@ -23,6 +24,10 @@ def _voxels(points: DataFrame, sizes: DataFrame, ratio: float) -> DataFrame:
     return rows.drop("size", *[f"_{a}0" for a in AXES])
 
 
+def _framed(points: DataFrame, sizes: DataFrame) -> DataFrame:
+    return _origins(points).drop("n_points").join(sizes.select("tile_id", "size"), "tile_id")
+
+
 def _per_tile(points: DataFrame, size: float) -> DataFrame:
     return points.select("tile_id").distinct().withColumn("size", F.lit(float(size)))
 
@@ -37,7 +42,7 @@ def voxel_downsample(points: DataFrame, size: float | DataFrame, ratio: float =
     """
     sizes = size if isinstance(size, DataFrame) else _per_tile(points, size)
     key = ["tile_id", *[f"_v{a}" for a in AXES]]
-    rows = _voxels(points, sizes, ratio)
+    rows = _voxels(points, _framed(points, sizes), ratio)
     centre = rows.groupBy(*key).agg(*[F.avg(a).alias(f"_c{a}") for a in AXES])
     gaps = [F.pow(F.col(a) - F.col(f"_c{a}"), 2) for a in AXES]
     off = F.round(gaps[0] + gaps[1] + gaps[2], 9)
@@ -48,9 +53,17 @@ def voxel_downsample(points: DataFrame, size: float | DataFrame, ratio: float =
 
 def voxel_counts(points: DataFrame, sizes: DataFrame, ratio: float = 1.0) -> DataFrame:
     """Number of occupied voxels per tile: two levels of partial aggregates."""
-    key = ["tile_id", *[f"_v{a}" for a in AXES]]
-    occupied = _voxels(points.select("tile_id", *AXES), sizes, ratio).groupBy(*key).agg(F.lit(1).alias("_o"))
-    return occupied.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_voxels"))
+    frame = _framed(points, sizes).withColumn("_trial", F.lit(0))
+    return _count_trials(points, frame, ratio).select("tile_id", F.col("_c0").alias("n_voxels"))
+
+
+def _count_trials(points: DataFrame, frame: DataFrame, ratio: float, trials: int = 1) -> DataFrame:
+    """Occupied voxels of each tile at each of its trial sizes, as columns _c0, _c1, ..."""
+    key = ["tile_id", "_trial", *[f"_v{a}" for a in AXES]]
+    occupied = _voxels(points.select("tile_id", *AXES), frame, ratio).groupBy(*key).agg(F.lit(1).alias("_o"))
+    return occupied.groupBy("tile_id").agg(
+        *[F.count(F.when(F.col("_trial") == i, 1)).alias(f"_c{i}") for i in range(trials)]
+    )
 
 
 def adaptive_sizes(
@@ -60,38 +73,52 @@ def adaptive_sizes(
     """V3: the voxel size per tile that leaves at most ``most`` points.
 
     Set-wise bisection: one pass counts the voxels of every tile still searching at
-    that tile's own trial size. Tiles whose bracket never reaches the cap grow
-    their size afterwards, again all of them per pass. The state is one row per tile.
+    the tile's own middle size and at the two sizes that can come next, so a pass
+    settles two halvings. Tiles whose bracket never reaches the cap grow their size
+    afterwards, again all of them per pass. The state is one row per tile.
     Columns tile_id, size_cm, n_points, whole (all points kept).
     """
-    grow_fast = ratio == 1.0
-    base = points.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_points"))
+    base = _origins(points)
     if isinstance(start_cm, DataFrame):
         base = base.join(start_cm.select("tile_id", F.col("size_cm").alias("lo")), "tile_id")
     else:
         base = base.withColumn("lo", F.lit(float(start_cm)))
     whole = (F.col("n_points") <= most) if keep_if_small else F.lit(False)
-    state = cut_lineage(base.select(
-        "tile_id", "n_points", "lo", F.col("lo").alias("first"), (F.col("lo") * 10).alias("hi"), whole.alias("whole"),
+    frame = ["tile_id", *[f"_{a}0" for a in AXES]]
+    fixed = [*frame, "n_points", "first", "whole"]
+    state = cut_lineage(base.withColumn("first", F.col("lo")).withColumn("whole", whole).select(
+        *fixed, "lo", (F.col("lo") * 10).alias("hi"),
         F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_n"),
     ))
-    for _ in range(rounds):
-        open_ = state.where(~F.col("whole") & (F.col("hi") - F.col("lo") > width))
+    searching = lambda: ~F.col("whole") & (F.col("hi") - F.col("lo") > width)
+
+    def halve(rows: DataFrame, count: Column) -> DataFrame:
+        mid = (F.col("lo") + F.col("hi")) / 2
+        fits = count <= most
+        better = fits & (F.col("best_n").isNull() | (count > F.col("best_n")))
+        on = searching() & count.isNotNull()
+        return rows.withColumn("_mid", mid).withColumn("_n", F.when(on, count)).withColumns({
+            "_fits": F.coalesce(on & fits, F.lit(False)), "_better": F.coalesce(on & better, F.lit(False)),
+        }).withColumns({
+            "best": F.when(F.col("_better"), F.col("_mid")).otherwise(F.col("best")),
+            "best_n": F.when(F.col("_better"), F.col("_n")).otherwise(F.col("best_n")),
+            "hi": F.when(F.col("_fits"), F.col("_mid")).otherwise(F.col("hi")),
+            "lo": F.when(F.col("_n").isNotNull() & ~F.col("_fits"), F.col("_mid")).otherwise(F.col("lo")),
+        })
+
+    for done in range(0, rounds, 2):
+        open_ = state.where(searching())
         if open_.isEmpty():
             break
-        trial = open_.select("tile_id", ((F.col("lo") + F.col("hi")) / 200).alias("size"))
-        counted = voxel_counts(points.join(trial.select("tile_id"), "tile_id", "left_semi"), trial, ratio)
-        mid, n = (F.col("lo") + F.col("hi")) / 2, F.col("n_voxels")
-        fits = n <= most
-        better = fits & (F.col("best_n").isNull() | (n > F.col("best_n")))
-        joined = state.join(counted, "tile_id", "left")
-        state = cut_lineage(joined.select(
-            "tile_id", "n_points", "first", "whole",
-            F.when(n.isNotNull() & ~fits, mid).otherwise(F.col("lo")).alias("lo"),
-            F.when(fits, mid).otherwise(F.col("hi")).alias("hi"),
-            F.when(better, mid).otherwise(F.col("best")).alias("best"),
-            F.when(better, n).otherwise(F.col("best_n")).alias("best_n"),
-        ))
+        mid = (F.col("lo") + F.col("hi")) / 2
+        sizes = F.array(mid / 100, (F.col("lo") + mid) / 2 / 100, (mid + F.col("hi")) / 2 / 100)
+        trials = open_.select(*frame, F.posexplode(sizes).alias("_trial", "size"))
+        joined = state.join(_count_trials(points, trials, ratio, 3), "tile_id", "left")
+        once = halve(joined, F.col("_c0"))
+        if done + 1 < rounds:
+            once = once.withColumn("_next", F.when(F.col("_fits"), F.col("_c1")).otherwise(F.col("_c2")))
+            once = halve(once, F.col("_next"))
+        state = cut_lineage(once.select(*fixed, "lo", "hi", "best", "best_n"))
     state = state.withColumn("cur", F.col("lo"))
     factor = 0.5
     for step in range(growth_passes + 1):
@@ -100,21 +127,20 @@ def adaptive_sizes(
             break
         if step == growth_passes:
             raise RuntimeError("voxel sizes did not reach the cap; raise growth_passes")
-        trial = open_.select("tile_id", (F.col("cur") / 100).alias("size"))
-        counted = voxel_counts(points.join(trial.select("tile_id"), "tile_id", "left_semi"), trial, ratio)
-        over = F.col("n_voxels").cast("double") / F.lit(float(most))
-        more = F.lit(2.0) * over if grow_fast else F.least(F.lit(5.0), F.lit(factor) * over)
-        fits = F.col("n_voxels") <= most
+        trials = open_.select(*frame, F.lit(0).alias("_trial"), (F.col("cur") / 100).alias("size"))
+        counted = _count_trials(points, trials, ratio)
+        over = F.col("_c0").cast("double") / F.lit(float(most))
+        more = F.lit(2.0) * over if ratio == 1.0 else F.least(F.lit(5.0), F.lit(factor) * over)
+        fits = F.col("_c0") <= most
         state = cut_lineage(state.join(counted, "tile_id", "left").select(
-            "tile_id", "n_points", "first", "whole", "lo", "hi",
+            *fixed, "lo", "hi",
             F.when(fits, F.col("cur")).otherwise(F.col("best")).alias("best"),
-            F.when(fits, F.col("n_voxels")).otherwise(F.col("best_n")).alias("best_n"),
-            F.when(F.col("n_voxels").isNotNull() & ~fits, F.col("cur") + more).otherwise(F.col("cur")).alias("cur"),
+            F.when(fits, F.col("_c0")).otherwise(F.col("best_n")).alias("best_n"),
+            F.when(F.col("_c0").isNotNull() & ~fits, F.col("cur") + more).otherwise(F.col("cur")).alias("cur"),
         ))
         factor *= 1.2
-    return state.select(
-        "tile_id", F.when(F.col("whole"), F.col("first")).otherwise(F.col("best")).alias("size_cm"), "n_points", "whole"
-    )
+    size = F.when(F.col("whole"), F.col("first")).otherwise(F.col("best"))
+    return state.select("tile_id", size.alias("size_cm"), "n_points", "whole")
 
 
 def adaptive_downsample(points: DataFrame, most: int, start_cm: float = 4.0, ratio: float = 1.0, **options) -> DataFrame:
