@@ -9,6 +9,7 @@ from tileloom.operators import imagery, neighbors, normalize, quality
 from tileloom.operators.ranks import lowest_n
 from tileloom.operators.spatial import tiles_on_polygons
 from tileloom.operators.voxel import adaptive_downsample
+from tileloom.session import cut_lineage
 
 
 def random_part(tiles: DataFrame, ratio: float, seed) -> DataFrame:
@@ -52,18 +53,19 @@ def precompute(
     start_cm: float = 4.0, ratio: float = 0.5, k: int = 16, cap_z: float = 95.0, seed="123",
 ) -> dict[str, DataFrame]:
     """T5: capped, thinned and normalised points, the graph, and the dated images."""
-    capped = quality.cap_points(points, "dep", max_sparse, seed)
+    sparse = quality.cap_points(points.where(F.col("cloud") == "dep"), "dep", max_sparse, seed)
     dense = adaptive_downsample(
-        capped.where(F.col("cloud") == "uav"), max_dense, start_cm, ratio, keep_if_small=False
+        points.where(F.col("cloud") == "uav"), max_dense, start_cm, ratio, keep_if_small=False
     )
-    both = capped.where(F.col("cloud") == "dep").unionByName(dense)
+    both = sparse.unionByName(dense)
     normed = normalize.normalise_to_box(both, tiles)
     normed = normalize.standardise_attributes(normed, attributes, point_stats)
     frame = normed.select(
         "tile_id", "cloud", "pid", F.col("x_norm").alias("x"), F.col("y_norm").alias("y"), F.col("z_norm").alias("z"),
         *[f"{a}_norm" for a in attributes], "center_x", "center_y", "center_z", "scale_x", "scale_y",
     )
-    kept = quality.cap_height(frame, cap_z)
+    # Capped and thinned: far smaller than the input, and read by every output below.
+    kept = cut_lineage(quality.cap_height(cut_lineage(frame), cap_z))
     edges = neighbors.edge_table(kept.where(F.col("cloud") == "dep"), k)
     alive = kept.select("tile_id").distinct()
     optical = normalize.scale_optical(
@@ -86,12 +88,13 @@ def split_and_precompute(
     attributes: list[str], survey_date: str, test_ratio: float = 0.6, seed="123", **options,
 ) -> dict[str, DataFrame]:
     """T4: split, statistics over all three valid sets, then one precompute job for all."""
-    split = split_tiles(checked, polys, width, test_ratio, seed)
+    split = cut_lineage(split_tiles(checked, polys, width, test_ratio, seed))
     used = split.where(F.col("split") != "invalid").select("tile_id")
     pts = points.join(used, "tile_id", "left_semi")
     px = pixels.join(used, "tile_id", "left_semi")
     point_stats = normalize.attribute_statistics(pts, attributes)
     radar_stats = normalize.band_statistics(px.where(F.col("sensor") == "uavsar"), "uavsar")
+    point_stats, radar_stats = cut_lineage(point_stats), cut_lineage(radar_stats)
     out = precompute(
         checked, pts, px, attributes, survey_date, point_stats, radar_stats, seed=seed, **options
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tileloom.operators import quality
 from tileloom.operators.spatial import points_to_tiles
 from tileloom.operators.voxel import adaptive_downsample
+from tileloom.session import cut_lineage
 from tileloom.sources.tiles import ledger
 
 
@@ -37,7 +38,8 @@ def build_tiles(
     kept = uav.join(passed.select("tile_id"), "tile_id", "left_semi")
     dep = points_to_tiles(sparse, passed, width).withColumn("cloud", F.lit("dep"))
     columns = ["tile_id", "cloud", "pid", "x", "y", "z"]
-    thinned = adaptive_downsample(kept.select(*columns), cap, start_cm, ratio)
+    # The size search reads these points several times: the join is done once.
+    thinned = adaptive_downsample(cut_lineage(kept.select(*columns)), cap, start_cm, ratio)
     points = quality.common_union(dep.select(*columns), thinned)
     few = tiles.join(passed, "tile_id", "left_anti").select("tile_id", F.lit("too few UAV points").alias("reason"))
     none = passed.join(dep.select("tile_id").distinct(), "tile_id", "left_anti").select(
