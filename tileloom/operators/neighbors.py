@@ -195,8 +195,12 @@ def nearest(
         return _coded(points, frames, group, depth).join(own, cell).drop(*[f"_i{c}" for c in AXES])
 
     a_points = with_leaf(queries, "a")
-    b_points = with_leaf(b, "b").select(
-        *group, "b", F.col("pid").alias("n_pid"), *[F.col(c).alias(f"n_{c}") for c in AXES]
+    # A leaf's targets travel as one short array: a query meets a row per leaf, not per target.
+    names = [*[f"n_{c}" for c in AXES], "n_pid"]
+    b_leaves = (
+        with_leaf(b, "b")
+        .groupBy(*group, "b")
+        .agg(F.collect_list(F.struct(*[F.col(c).alias(f"n_{c}") for c in AXES], F.col("pid").alias("n_pid"))).alias("_pts"))
     )
     away = None
     for c in AXES:
@@ -205,19 +209,27 @@ def nearest(
     near = a_points.join(pairs, [*group, "a"]).where(
         F.col("_limit").isNull() | (away <= F.col("_limit"))
     )
-    gaps = [F.col(c) - F.col(f"n_{c}") for c in AXES]
-    d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    found = near.drop("a", "_limit", *boxes_b).join(b_points, [*group, "b"]).drop("b").withColumn("d2", d2)
-    if exclude_self:
-        same = (F.col("n_pid") == F.col("pid")) & (F.col("d2") == 0)
-        found = found.where(~same)
-    order = ["d2", "n_x", "n_y", "n_z", "n_pid"]
     kept = queries.columns
+    met = near.select(*kept, "b").join(b_leaves, [*group, "b"])
+
+    def measured(p):
+        dx, dy, dz = (F.col(c) - p[f"n_{c}"] for c in AXES)
+        d2 = dx * dx + dy * dy + dz * dz
+        return F.struct(d2.alias("d2"), *[p[n].alias(n) for n in names])
+
+    def another(m):
+        return ~((m["n_pid"] == F.col("pid")) & (m["d2"] == 0))
+
+    measures = F.transform("_pts", measured)
+    if exclude_self:
+        measures = F.filter(measures, another)
     if k == 1:
-        best = F.min(F.struct(*order)).alias("_m")
-        return found.groupBy(*kept).agg(best).select(*kept, "_m.*")
-    w = Window.partitionBy(*kept).orderBy(*order)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = met.select(*kept, F.array_min(measures).alias("_m")).where(F.col("_m").isNotNull())
+        return best.groupBy(*kept).agg(F.min("_m").alias("_m")).select(*kept, "_m.*")
+    # Each leaf offers at most its k best; the ranking sees only those.
+    offers = met.select(*kept, F.explode(F.slice(F.array_sort(measures), 1, k)).alias("_m")).select(*kept, "_m.*")
+    w = Window.partitionBy(*kept).orderBy("d2", *names)
+    return offers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def cross_nearest(points: DataFrame, a: str, b: str, leaf: int = LEAF) -> DataFrame:
