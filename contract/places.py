@@ -232,12 +232,15 @@ def tile_ids(spark, d):
     return tl.tile_ids(b.points(spark, d))
 
 
-@query("items_in_any_box", f"""with {ITEMS}, {TILES}
-select item_id from items i where exists (select 1 from tiles t where minx <= xmax and maxx >= xmin and miny <= ymax and maxy >= ymin
-  and source like '%7')""")
+@query("items_in_any_box", f"""with {ITEMS}, {POLYS},
+h as (select poly_id, min(least(x1, x2)) as xmin, min(least(y1, y2)) as ymin, max(greatest(x1, x2)) as xmax, max(greatest(y1, y2)) as ymax from polys group by 1)
+select item_id from items i where exists (select 1 from h where minx <= xmax and maxx >= xmin and miny <= ymax and maxy >= ymin)""")
 def items_in_any_box(spark, d):
-    wanted = b.tiles(spark, d).where("source like '%7'")
-    return sp.any_box(b.items(spark, d), wanted, 20.0, _ITEM_BOX, sp.BOX).select("item_id")
+    areas = b.polygons(spark, d).groupBy("poly_id").agg(
+        F.min(F.least("x1", "x2")).alias("xmin"), F.min(F.least("y1", "y2")).alias("ymin"),
+        F.max(F.greatest("x1", "x2")).alias("xmax"), F.max(F.greatest("y1", "y2")).alias("ymax"),
+    )
+    return sp.any_box(b.items(spark, d), areas, 20.0, _ITEM_BOX, sp.BOX).select("item_id")
 
 
 @query("items_in_dates", f"""with {ITEMS} select item_id, dt from items where cast(dt as date) between date '1996-03-01' and date '1997-02-28'""")
