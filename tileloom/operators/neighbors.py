@@ -20,6 +20,7 @@ from tileloom.session import cut_lineage
 AXES = ("x", "y", "z")
 LEAF = 64
 MAX_DEPTH = 16
+SMALL_INPUT = 20_000_000
 
 
 def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -154,7 +155,8 @@ def nearest(
         copies = Window.partitionBy(*spot).orderBy("pid")
         b = b.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= need).drop("_c")
     frames = _frames(queries, targets, group)
-    depth = _depth_for(frames.agg(F.max("_targets")).first()[0] or 0, leaf)
+    size = frames.agg(F.max("_targets").alias("most"), F.sum("_targets").alias("total")).first()
+    depth = _depth_for(size["most"] or 0, leaf)
     key = [*group, "_t"]
     tagged = queries.select(*group, F.lit("a").alias("_t"), *AXES).unionByName(
         b.select(*group, F.lit("b").alias("_t"), *AXES)
@@ -195,6 +197,9 @@ def nearest(
         return _coded(points, frames, group, depth).join(own, cell).drop(*[f"_i{c}" for c in AXES])
 
     a_points = with_leaf(queries, "a")
+    if (size["total"] or 0) < SMALL_INPUT:
+        # Few input splits: spread the comparing over all cores, not over the files read.
+        a_points = a_points.repartition(*group, "pid")
     # A leaf's targets travel as one short array: a query meets a row per leaf, not per target.
     names = [*[f"n_{c}" for c in AXES], "n_pid"]
     b_leaves = (
