@@ -33,10 +33,10 @@ QUERIES = {
 SQL = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM at),
-first AS (SELECT words, min(doc_id) AS least FROM win GROUP BY words),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN first USING (words) WHERE least < doc_id),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM pos),
+mins AS (SELECT words, min(doc_id) AS least FROM win GROUP BY words),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN mins USING (words) WHERE least < doc_id),
 per AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(l), 0) AS n_removed,
   sha256(array_to_string(CASE WHEN l IS NULL THEN w ELSE [x FOR x, k IN w IF NOT list_contains(l, k)] END, ' ')) AS kept_sha256
