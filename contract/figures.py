@@ -38,15 +38,27 @@ def paired_comparison(spark, d):
     return st.paired(st.differences(b.evaluation(spark, d), _PAIRS))
 
 
+def _two_sided(z: str) -> str:
+    """The Chebyshev fit of erfc, in SQL."""
+    x, poly = f"abs({z}) / sqrt(2.0)", "0.17087277"
+    t = f"(1 / (1 + 0.5 * {x}))"
+    for c in ("-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806", "0.09678418", "0.37409196", "1.00002368", "-1.26551223"):
+        poly = f"({c} + {t} * {poly})"
+    return f"{t} * exp(-({x}) * ({x}) + {poly})"
+
+
+_Z = "(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48)"
+
+
 @query("wilcoxon", f"""with {EVAL}, {DIFF}, nz as (select pair, sign(d) as s, abs(d) as a from df where d <> 0),
 k as (select *, rank() over (partition by pair order by a) + (count(*) over (partition by pair, a) - 1) / 2.0 as rk,
    count(*) over (partition by pair, a) as t from nz),
 s as (select pair, count(*) as n, sum(case when s > 0 then rk else 0 end) as w_plus, sum(case when s < 0 then rk else 0 end) as w_minus,
    sum(t::double * t - 1) as ties from k group by 1)
 select pair, n, {r('w_plus')}, {r('w_minus')}, {r('least(w_plus, w_minus)', 'w')},
- {r('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48)', 'z')} from s""")
+ {r('z')}, {r(_two_sided('z'), 'p_value')} from (select *, {_Z} as z from s)""")
 def wilcoxon(spark, d):
-    return st.wilcoxon(st.differences(b.evaluation(spark, d), _PAIRS)).drop("p_value")
+    return st.wilcoxon(st.differences(b.evaluation(spark, d), _PAIRS))
 
 
 _CLEAN = "cl as (select * from eval where " + " and ".join(
@@ -72,19 +84,20 @@ def spearman(spark, d):
     return st.spearman(b.evaluation(spark, d))
 
 
-_FISHER = f"""select o.grp, o.model, {r('o.rho', 'rho')}, o.n, {r('(atanh(b.rho) - atanh(o.rho)) / sqrt(2.0 / (o.n - 3))', 'z')}
-from rho o join rho b on o.grp = b.grp and b.model = 'baseline' where o.model <> 'baseline'"""
+_FISHER = f"""select grp, model, {r('rho')}, n, {r('z')}, {r(_two_sided('z'), 'p_z')} from (
+select o.grp, o.model, o.rho, o.n, (atanh(b.rho) - atanh(o.rho)) / sqrt(2.0 / (o.n - 3)) as z
+from rho o join rho b on o.grp = b.grp and b.model = 'baseline' where o.model <> 'baseline')"""
 
 
 @query("fisher_comparison", f"with {EVAL}, {_spearman_sql(chr(39) + 'all' + chr(39))} {_FISHER}")
 def fisher_comparison(spark, d):
-    return st.compare_correlations(st.spearman(b.evaluation(spark, d))).drop("p_z")
+    return st.compare_correlations(st.spearman(b.evaluation(spark, d)))
 
 
 @query("gains_losses_comparison", f"with {EVAL}, {_spearman_sql(_SIDES)} {_FISHER}")
 def gains_losses_comparison(spark, d):
     rhos = st.spearman(b.evaluation(spark, d), group=st.gains_and_losses())
-    return st.compare_correlations(rhos).drop("p_z")
+    return st.compare_correlations(rhos)
 
 
 @query("winsorised", f"""with {EVAL}, {_CLEAN},
@@ -159,7 +172,7 @@ def samples_by_model(spark, d):
     both = rows.withColumn("metric", F.lit("cd")).unionByName(
         rows.withColumn("v", F.col("v") * 2).withColumn("metric", F.lit("dcd"))
     )
-    return rp.samples_by_model(both, ["baseline", "combined"])
+    return rp.samples_by_model(both, ["baseline", "combined"], ["cd", "dcd"])
 
 
 @query("balanced_shards", f"""with {POINTS}, s as (select tile_id, count(*) as size from points group by 1),
@@ -227,15 +240,12 @@ def image_change(spark, d):
     return out.select("tile_id", "image_id", "band", "row", "col", "dv", "gap_scaled")
 
 
-@query("contrast_stretch", f"""with {PIXELS}, q as (select tile_id, quantile_cont(v, [0.02, 0.98]) as s from pixels where v > 0 and not isnan(v) group by 1)
-select event_id, {r('''coalesce(case when s[2] - s[1] <> 0 and not isnan(v) and not (isinf(s[2]) ) then least(greatest((v - s[1]) / (s[2] - s[1]), 0), 1) * 255 end, 0)''', 'level')}
-from pixels left join q using (tile_id) where not isnan(v) and not isinf(v) and not isinf(s[2])""")
+@query("contrast_stretch", f"""with {PIXELS}, fin as (select *, not isnan(v) and not isinf(v) as ok from pixels),
+q as (select tile_id, quantile_cont(v, [0.02, 0.98]) as s from fin where v > 0 and ok group by 1)
+select event_id, {r('coalesce(case when ok and s[2] - s[1] <> 0 then least(greatest((v - s[1]) / (s[2] - s[1]), 0), 1) * 255 end, 0)', 'level')}
+from fin left join q using (tile_id)""")
 def contrast_stretch(spark, d):
-    px = im.stretch(b.pixels(spark, d), ["tile_id"])
-    # tiles whose upper percentile is infinite have no finite stretch
-    ends = b.pixels(spark, d).where("v > 0 and not isnan(v)").groupBy("tile_id").agg(F.percentile("v", F.lit(0.98)).alias("q"))
-    finite_tiles = ends.where("q < double('Infinity')").select("tile_id")
-    return px.where("not isnan(v) and v < double('Infinity')").join(finite_tiles, "tile_id", "left_semi").select("event_id", "level")
+    return im.stretch(b.pixels(spark, d), ["tile_id"]).select("event_id", "level")
 
 
 def _regrid_sql(method: str) -> str:

@@ -27,12 +27,12 @@ k as (select *, case when n_uav = 0 then 'missing_uav' when n_uav < 480 then 'fe
   when coalesce(coverage_pct, 0) < 56 then 'low_coverage' when n_dep = 0 then 'missing_dep'
   when n_dep < 60 then 'few_dep' when n_uav / n_dep::double < 5 then 'low_ratio' end as reason_code from j)
 select tile_id, n_uav, n_dep, {r('coverage_pct')}, reason_code, reason_code is null as is_valid,
-  case reason_code when 'missing_uav' then 'Missing UAV points'
-    when 'few_uav' then format('Insufficient UAV points: {{}} < 480', n_uav)
-    when 'low_coverage' then printf('Insufficient UAV point cloud coverage: %.1f%% < 56%%', coverage_pct)
-    when 'missing_dep' then 'Missing DEP points'
-    when 'few_dep' then format('Insufficient DEP points: {{}} < 60', n_dep)
-    when 'low_ratio' then printf('Insufficient UAV to DEP point ratio: %.2f < 5', n_uav / n_dep::double)
+  case reason_code when 'missing_uav' then 'the tile has no UAV points'
+    when 'few_uav' then format('UAV points: {{}}, wanted 480', n_uav)
+    when 'low_coverage' then printf('covered by UAV points: %.1f%%, wanted 56%%', coverage_pct)
+    when 'missing_dep' then 'the tile has no DEP points'
+    when 'few_dep' then format('DEP points: {{}}, wanted 60', n_dep)
+    when 'low_ratio' then printf('UAV points per DEP point: %.2f, wanted 5', n_uav / n_dep::double)
   end as reason
 from k""")
 def tile_validity(spark, d):
@@ -213,12 +213,20 @@ def gate_before_join(spark, d):
 
 @query("first_item_per_date", f"""with {ITEMS},
 n as (select *, row_number() over (partition by cast(dt as date) order by item_id) as rn from items)
-select item_id, cast(dt as date) as day, {rr('minx', 'miny')} from n where rn = 1 order by day limit 100""")
+select item_id, cast(dt as date) as day, {rr('minx', 'miny')} from n where rn = 1""")
 def first_item_per_date(spark, d):
     found = q.first_item_per_date(b.items(spark, d))
     return found.select("item_id", F.to_date("dt").alias("day"), "minx", "miny")
 
 
+@query("first_dates_of_items", f"""with {ITEMS},
+n as (select *, row_number() over (partition by cast(dt as date) order by item_id) as rn from items)
+select item_id, cast(dt as date) as day, {rr('minx', 'miny')} from n where rn = 1 order by day limit 100""")
+def first_dates_of_items(spark, d):
+    found = q.first_item_per_date(b.items(spark, d), most=100)
+    return found.select("item_id", F.to_date("dt").alias("day"), "minx", "miny")
+
+
 @query("capped_cloud", f"""with {POINTS},
 n as (select *, row_number() over (partition by tile_id order by {draw("'42'", 'tile_id', 'pid')}, x, y, z, pid) as rn
   from points where cloud = 'uav')
@@ -228,6 +236,16 @@ def capped_cloud(spark, d):
     return kept.where("cloud = 'uav'").select("tile_id", "pid", "x", "y", "z")
 
 
+@query("capped_sparse_cloud", f"""with {POINTS},
+n as (select *, row_number() over (partition by tile_id order by {draw("'42'", 'tile_id', 'pid')}, x, y, z, pid) as rn
+  from points where cloud = 'dep')
+select tile_id, pid, {rr('x', 'y', 'z')} from n where rn <= 85""")
+def capped_sparse_cloud(spark, d):
+    """The cap lies between the sizes of the clouds: smaller ones stay whole."""
+    kept = q.cap_points(b.points(spark, d), "dep", 85, "42")
+    return kept.where("cloud = 'dep'").select("tile_id", "pid", "x", "y", "z")
+
+
 _SUM = ", ".join(
     f"{r(f'{e}({a}) filter (where cloud = {c!r})', f'{a}_{e}_{c}')}"
     for c in ("dep", "uav") for a in "xyz" for e in ("min", "max")

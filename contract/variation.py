@@ -10,6 +10,8 @@ from tileloom.operators.quality import augmentation_violations
 
 COLS = ["tile_id", "pid", "x", "y", "z"]
 UAV = "uav as (select * from points where cloud = 'uav')"
+#: The sparse cloud under the same name: nearly all its tiles are below the floor of 100 points.
+SPARSE = "uav as (select * from points where cloud = 'dep' and z < 12)"
 XYZ = f"tile_id, pid, {rr('x', 'y', 'z')}"
 
 
@@ -17,6 +19,10 @@ def _uav(spark, d):
     return b.points(spark, d).where("cloud = 'uav'").select(*COLS)
 
 
+def _sparse(spark, d):
+    return b.points(spark, d).where("cloud = 'dep' and z < 12").select(*COLS)
+
+
 def t(step: str) -> str:
     return draw("'42'", f"'{step}'", "tile_id")
 
@@ -66,18 +72,31 @@ def augment_mask(spark, d):
     return a.mask_points(_uav(spark, d), "42", 1.0, 5.0)
 
 
-@query("augment_slice", f"""with {POINTS}, {UAV}, tp as (select tile_id, max(z) as top from uav group by 1),
+@query("augment_mask_small", f"with {POINTS}, {SPARSE}, {_MASK}, {_floor_sql('mask')}")
+def augment_mask_small(spark, d):
+    return a.mask_points(_sparse(spark, d), "42", 1.0, 5.0)
+
+
+_SLICE = f"""tp as (select tile_id, max(z) as top from uav group by 1),
 bd as (select tile_id, top * 0.9 as reach, least(18.0, top * 0.9) as hi, least(12.0, least(18.0, top * 0.9)) as lo from tp),
 b2 as (select tile_id, reach, lo + (hi - lo) * {t('slice_h')} as h from bd),
 b3 as (select tile_id, h, greatest(reach - h, 0) * {t('slice_z')} as bottom from b2),
 pl as (select u.*, z >= bottom and z <= bottom + h as hit from uav u join b3 using (tile_id)),
 rk as (select *, row_number() over (partition by tile_id order by {p('slice')}, x, y, z, pid) as rn, count(*) over (partition by tile_id) as n from pl where hit),
 kept as (select tile_id, pid, x, y, z from pl where not hit union all
-  select tile_id, pid, x, y, z from rk where rn <= n - cast(trunc(n * (0.7 + 0.3 * {t('slice_share')})) as bigint)), {_floor_sql('slice')}""")
+  select tile_id, pid, x, y, z from rk where rn <= n - cast(trunc(n * (0.7 + 0.3 * {t('slice_share')})) as bigint))"""
+
+
+@query("augment_slice", f"with {POINTS}, {UAV}, {_SLICE}, {_floor_sql('slice')}")
 def augment_slice(spark, d):
     return a.remove_slice(_uav(spark, d), "42", 12.0, 18.0, 0.9)
 
 
+@query("augment_slice_small", f"with {POINTS}, {SPARSE}, {_SLICE}, {_floor_sql('slice')}")
+def augment_slice_small(spark, d):
+    return a.remove_slice(_sparse(spark, d), "42", 12.0, 18.0, 0.9)
+
+
 @query("augment_dates", f"""with {PIXELS}, im as (select distinct tile_id, sensor, image_id, cast(date_diff('day', date '2024-01-15', dt) as double) as rel from pixels)
 select tile_id, sensor, image_id, {r('rel + (-30.0 + 60.0 * ' + draw("'42'", "'dates'", 'tile_id', 'sensor') + ')', 'rel_days')} from im""")
 def augment_dates(spark, d):

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tileloom.functions.values import is_finite
 from tileloom.operators.ranks import named_percentiles
 
 
@@ -59,13 +60,17 @@ def change_between_images(pixels: DataFrame, key: list[str]) -> DataFrame:
 
 
 def stretch(pixels: DataFrame, key: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """The low and high percentile of the positive pixels of an image to 0 and 255."""
-    positive = pixels.where((F.col("v") > 0) & ~F.isnan("v"))
+    """The low and high percentile of the positive finite pixels of an image to 0 and 255.
+
+    Pixels that aren't finite get level 0.
+    """
+    finite = is_finite(F.col("v"))
+    positive = pixels.where((F.col("v") > 0) & finite)
     ends = named_percentiles(positive, key, "v", {"_lo": low, "_hi": high})
     share = F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     level = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.lit(255.0)
     joined = pixels.join(ends, key, "left")
-    return joined.withColumn("level", F.coalesce(level, F.lit(0.0))).drop("_lo", "_hi")
+    return joined.withColumn("level", F.when(finite, F.coalesce(level, F.lit(0.0))).otherwise(F.lit(0.0))).drop("_lo", "_hi")
 
 
 def _kernel(method: str) -> tuple[list[int], object]:

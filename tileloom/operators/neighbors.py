@@ -20,7 +20,6 @@ from tileloom.session import cut_lineage
 AXES = ("x", "y", "z")
 LEAF = 64
 MAX_DEPTH = 16
-SMALL_INPUT = 20_000_000
 
 
 def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -196,10 +195,8 @@ def nearest(
         own = owner.where(F.col("_t") == tag).drop("_t").withColumnRenamed("_own", tag)
         return _coded(points, frames, group, depth).join(own, cell).drop(*[f"_i{c}" for c in AXES])
 
-    a_points = with_leaf(queries, "a")
-    if (size["total"] or 0) < SMALL_INPUT:
-        # Few input splits: spread the comparing over all cores, not over the files read.
-        a_points = a_points.repartition(*group, "pid")
+    # Dealt by leaf, as the join below needs it: comparing is spread whatever the input's splits.
+    a_points = with_leaf(queries, "a").repartition(*group, "a")
     # A leaf's targets travel as one short array: a query meets a row per leaf, not per target.
     names = [*[f"n_{c}" for c in AXES], "n_pid"]
     b_leaves = (

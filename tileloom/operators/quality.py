@@ -126,29 +126,29 @@ def validate_tiles(
     )
     ratio = F.try_divide(F.col("n_uav").cast("double"), F.col("n_dep"))
     checks = [
-        (F.col("n_uav") == 0, F.lit("Missing UAV points")),
+        (F.col("n_uav") == 0, F.lit("the tile has no UAV points")),
         (
             F.col("n_uav") < min_uav,
-            F.format_string("Insufficient UAV points: %d < %d", "n_uav", F.lit(min_uav)),
+            F.format_string("UAV points: %d, wanted %d", "n_uav", F.lit(min_uav)),
         ),
-        (~has_box, F.lit("Missing bounding box information")),
+        (~has_box, F.lit("the tile has no box")),
         (
             ~F.coalesce("is_complete", F.lit(False)),
             F.format_string(
-                f"Insufficient UAV point cloud coverage: %.1f%% < {min_coverage:g}%%",
+                f"covered by UAV points: %.1f%%, wanted {min_coverage:g}%%",
                 F.coalesce("coverage_pct", F.lit(0.0)),
             ),
         ),
-        (F.col("n_dep") == 0, F.lit("Missing DEP points")),
+        (F.col("n_dep") == 0, F.lit("the tile has no DEP points")),
         (
             F.col("n_dep") < min_dep,
-            F.format_string("Insufficient DEP points: %d < %d", "n_dep", F.lit(min_dep)),
+            F.format_string("DEP points: %d, wanted %d", "n_dep", F.lit(min_dep)),
         ),
     ]
     if min_ratio is not None:
         checks.append((
             ratio < float(min_ratio),
-            F.format_string(f"Insufficient UAV to DEP point ratio: %.2f < {min_ratio:g}", ratio),
+            F.format_string(f"UAV points per DEP point: %.2f, wanted {min_ratio:g}", ratio),
         ))
     code, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, (failed, message) in reversed(list(zip(REASONS, checks))):
@@ -243,11 +243,13 @@ def augmentation_violations(
     return out.unionByName(images.select("tile_id", F.explode(image_rules).alias("violation")))
 
 
-def first_item_per_date(items: DataFrame, most: int = 100) -> DataFrame:
-    """the first item (by id) of each calendar date, at most ``most`` by date."""
+def first_item_per_date(items: DataFrame, most: int | None = None) -> DataFrame:
+    """the first item (by id) of each calendar date; with ``most``, of that many first dates."""
     record = F.struct(*items.columns)
     first = items.groupBy(F.to_date("dt").alias("_d")).agg(F.min_by(record, "item_id").alias("_r"))
-    return first.orderBy("_d").limit(most).select("_r.*")
+    if most is not None:
+        first = first.orderBy("_d").limit(most)
+    return first.select("_r.*")
 
 
 def reason_histogram(checked: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def lowest_n(
     bucket the n-th row falls; buckets above are dropped, and rows are only ranked
     against the rows of their own bucket.
 
-    ``keep`` is a number, or a function from the group's row count to n.
+    ``keep`` is a number, or a function from the group's row count to n. A group of
+    fewer rows keeps all of them; n of zero or less keeps none.
     """
     wanted = keep if callable(keep) else (lambda _: F.lit(keep))
     columns = df.columns
@@ -49,7 +50,8 @@ def lowest_n(
     limit = (
         rows.groupBy(*group, "_b")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_want", wanted(F.sum("_c").over(whole)).cast("long"))
+        .withColumn("_all", F.sum("_c").over(whole))
+        .withColumn("_want", F.least(wanted(F.col("_all")).cast("long"), F.col("_all")))
         .withColumn("_before", F.sum("_c").over(whole.orderBy("_b")) - F.col("_c"))
         .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c")))
         .select(*group, F.col("_b").alias("_last"), (F.col("_want") - F.col("_before")).alias("_left"))

@@ -93,15 +93,14 @@ def loss_summary(table: DataFrame, value: str) -> DataFrame:
     )
 
 
-def samples_by_model(metrics: DataFrame, models: list[str], require: str = "any") -> DataFrame:
-    """Long metrics to one row per tile, a column per model and metric.
+def samples_by_model(metrics: DataFrame, models: list[str], names: list[str], require: str = "any") -> DataFrame:
+    """Long metrics to one row per tile, a column per model and metric of ``names``.
 
     ``reference_model`` is the first of ``models`` the tile has. ``require='all'``
     keeps only tiles every model has.
     """
     if require not in ("any", "all"):
         raise ValueError("require must be 'any' or 'all'")
-    names = [r[0] for r in metrics.select("metric").distinct().orderBy("metric").limit(1000).collect()]
     cells = [
         F.max(F.when((F.col("model") == m) & (F.col("metric") == k), F.col("v"))).alias(f"{m}_{k}")
         for m in models for k in names

@@ -70,14 +70,18 @@ def join_boxes(
 
 
 def any_box(df: DataFrame, boxes: DataFrame, width: float, box: tuple, boxes_box: tuple) -> DataFrame:
-    """F1, any-of form: rows whose box touches at least one of the boxes."""
-    a = with_box_cells(df, width, box)
+    """F1, any-of form: rows whose box touches at least one of the boxes.
+
+    Distinct boxes are tested; the rows themselves are kept or left out as often as they occur.
+    """
+    a = with_box_cells(df.select(*box).distinct(), width, box)
     b = with_box_cells(boxes, width, boxes_box)
     touch = boxes_touch(
         dict(zip(BOX, (a[c] for c in box))), dict(zip(BOX, (b[c] for c in boxes_box)))
     )
     same = (a["cx"] == b["cx"]) & (a["cy"] == b["cy"])
-    return a.join(b, same & touch, "left_semi").drop("cx", "cy").dropDuplicates()
+    hits = a.join(b, same & touch, "left_semi").select(*box).distinct()
+    return df.join(hits, list(box), "left_semi").select(*df.columns)
 
 
 def points_to_tiles(points: DataFrame, tiles: DataFrame, width: float) -> DataFrame:

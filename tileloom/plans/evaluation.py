@@ -12,6 +12,9 @@ from tileloom.session import cut_lineage
 AXES = ("x", "y", "z")
 
 
+METRICS = ["chamfer_distance", "dcd", "infocd", "point_count"]
+
+
 def model_distances(points: DataFrame, truth: str, models: list[str]) -> DataFrame:
     """M1, M5 and M6 of every model cloud against the truth, in long form.
 
@@ -50,7 +53,7 @@ def evaluation_frame(
     points: DataFrame, tiles: DataFrame, truth: str, models: list[str], require: str = "any", **canopy_options
 ) -> DataFrame:
     """One row per tile with the metrics of all models, canopy change and the box."""
-    wide = samples_by_model(model_distances(points, truth, models), models, require)
+    wide = samples_by_model(model_distances(points, truth, models), models, METRICS, require)
     change = canopy.canopy_height_change(points, models[0], truth, **canopy_options)
     boxes = tiles.select("tile_id", "xmin", "ymin", "xmax", "ymax")
     return wide.join(change, "tile_id", "left").join(boxes, "tile_id", "left")

@@ -32,6 +32,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .appName("tileloom")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in RUNTIME_CONF.items():
