@@ -125,10 +125,9 @@ def features(page: str) -> tuple[Counter, bool]:
 
 def weights_of(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
     """Weights of words by block and of tags: smoothed log odds of standing inside, within their bounds."""
-    total = {inside: sum(n for (_, _, i), n in counts.items() if i == inside) + 1 for inside in (True, False)}
     out = {}
     for kind, name in {(k, n) for k, n, _ in counts}:
-        odds = math.log((counts.get((kind, name, True), 0) + 0.5) / total[True]) - math.log((counts.get((kind, name, False), 0) + 0.5) / total[False])
+        odds = math.log(counts.get((kind, name, True), 0) + 0.5) - math.log(counts.get((kind, name, False), 0) + 0.5)
         low, high = WORD if kind == "word" else TAG
         out[kind, name] = min(high, max(low, odds))
     return out
