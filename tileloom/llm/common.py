@@ -109,7 +109,16 @@ def spread(seed: int, n: int) -> np.ndarray:
 
 BYTE_VALUE = spread(1, 256)
 BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Kept(dict):
+    """What a process has computed; it stays behind when a function travels to the executors."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+POWERS = Kept()
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
