@@ -223,7 +223,7 @@ def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
 
 
 def pack_batches(batches):
-    codec = pa.Codec("zstd", compression_level=1)
+    codec = pa.Codec("zstd", compression_level=3)
     for batch in batches:
         if not batch.num_rows:
             continue
