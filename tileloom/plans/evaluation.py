@@ -10,8 +10,6 @@ from tileloom.operators.report import samples_by_model
 from tileloom.session import cut_lineage
 
 AXES = ("x", "y", "z")
-
-
 METRICS = ["chamfer_distance", "dcd", "infocd", "point_count"]
 
 
