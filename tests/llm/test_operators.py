@@ -286,7 +286,7 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head>
 
 
 def test_html(spark):
-    want = "One & two\nFirst bold text more words here.\nSecond paragraph of the article is here.\nan item of it"
+    want = "One & two\n\nFirst bold text more words here.\n\nSecond paragraph of the article is here.\n\nan item of it"
     rows = [(1, "u", PAGE, 1), (2, None, None, 1), (3, "u", "", 1), (None, "u", "<nav>only</nav>", 1), (5, "u", "<article><p>" + "w " * 50_000 + "</article>", 1), (1, "u", PAGE, 1)]
     rows += [(9, "u", "plain words < 3 &am", 1), (10, "u", "<aside>left open<article><p>Body of text</article>", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

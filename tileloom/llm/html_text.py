@@ -154,7 +154,7 @@ def fit(pages: DataFrame) -> dict[tuple[str, str], float]:
 
 
 def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
-    """The text of the best-scoring region, blocks joined by a line feed."""
+    """The text of the best-scoring region, blocks joined by two line feeds."""
     found = list(tokens(page))
     best = run = 0.0
     first = last = start = 0
@@ -169,7 +169,7 @@ def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
     for kind, _, text, block, _ in found[first:last]:
         if kind == "word":
             blocks.setdefault(block, []).append(text)
-    return "\n".join(filter(None, (" ".join("".join(parts).split()) for parts in blocks.values())))
+    return "\n\n".join(filter(None, (" ".join("".join(parts).split()) for parts in blocks.values())))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     ``pages`` has page_id, url and html; other columns are ignored. Returns one row per input row:
     page_id, url and text. Character references are decoded, white space in a block is one space,
-    blocks are joined in page order by a line feed. A null or empty page, or one without words
+    blocks are joined in page order by two line feeds. A null or empty page, or one without words
     outside boilerplate, has an empty text.
     """
     weights = fit(pages)
