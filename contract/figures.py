@@ -182,7 +182,10 @@ def balanced_shards(spark, d):
     return rp.balanced_shards(b.points(spark, d).groupBy("tile_id").agg(F.count(F.lit(1)).alias("size")), 7)
 
 
-@query("shard_report")
+@query("shard_report", f"""with {POINTS}, s as (select tile_id, count(*) as size from points group by 1),
+k as (select *, row_number() over (order by size desc, floor({draw("'shard'", 'tile_id')} * 4096), tile_id) - 1 as ix from s),
+per as (select case when ix % 14 < 7 then ix % 14 else 13 - ix % 14 end as shard, cast(sum(size) as bigint) as total, count(*) as n_tiles from k group by 1)
+select min(total) as min_total, max(total) as max_total, {r('avg(total)', 'avg_total')}, min(n_tiles) as min_tiles, max(n_tiles) as max_tiles from per""")
 def shard_report(spark, d):
     return rp.shard_report(balanced_shards(spark, d))
 
@@ -252,6 +255,10 @@ def _regrid_sql(method: str) -> str:
     if method == "nearest":
         pick = "sr = cast(floor(fy + 0.5) as int) and sc = cast(floor(fx + 0.5) as int)"
         w = "1.0"
+    elif method == "cubic":
+        pick = "sr between cast(floor(fy) as int) - 1 and cast(floor(fy) as int) + 2 and sc between cast(floor(fx) as int) - 1 and cast(floor(fx) as int) + 2"
+        k = lambda s: f"(case when {s} <= 1 then 1.5 * pow({s}, 3) - 2.5 * pow({s}, 2) + 1 when {s} < 2 then -0.5 * pow({s}, 3) + 2.5 * pow({s}, 2) - 4 * {s} + 2 else 0 end)"
+        w = f"{k('abs(fy - sr)')} * {k('abs(fx - sc)')}"
     else:
         pick = "sr in (cast(floor(fy) as int), cast(floor(fy) as int) + 1) and sc in (cast(floor(fx) as int), cast(floor(fx) as int) + 1)"
         w = "greatest(1 - abs(fy - sr), 0) * greatest(1 - abs(fx - sc), 0)"
@@ -282,7 +289,7 @@ def regrid_bilinear(spark, d):
     return _regrid(spark, d, "bilinear")
 
 
-@query("regrid_cubic")
+@query("regrid_cubic", _regrid_sql("cubic"))
 def regrid_cubic(spark, d):
     return _regrid(spark, d, "cubic")
 

@@ -18,8 +18,11 @@ def _uav(spark, d):
 
 
 def _voxel_sql(size: str, ratio: float, source: str = "uav") -> str:
-    return f"""o as (select tile_id, min(x) as x0, min(y) as y0, min(z) as z0 from {source} group by 1),
-vx as (select u.*, floor((x - x0) / {size}) as vx, floor((y - y0) / {size}) as vy, floor((z - z0) / ({size} * {ratio!r}::double)) as vz from {source} u join o using (tile_id)),
+    return f"o as (select tile_id, min(x) as x0, min(y) as y0, min(z) as z0 from {source} group by 1),\n" + _thinned_sql(size, ratio, source)
+
+
+def _thinned_sql(size: str, ratio: float, source: str) -> str:
+    return f"""vx as (select u.*, floor((x - x0) / {size}) as vx, floor((y - y0) / {size}) as vy, floor((z - z0) / ({size} * {ratio!r}::double)) as vz from {source} u join o using (tile_id)),
 ct as (select tile_id, vx, vy, vz, avg(x) as cx, avg(y) as cy, avg(z) as cz from vx group by 1, 2, 3, 4),
 bs as (select tile_id, pid, x, y, z from vx join ct using (tile_id, vx, vy, vz)
   qualify row_number() over (partition by tile_id, vx, vy, vz order by round(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2), 9), pid, x, y, z) = 1)"""
@@ -45,13 +48,13 @@ def voxel_counts(spark, d):
     return vx.voxel_counts(uav, sizes, 0.5)
 
 
-def _bisect_sql(most: int, start: float, rounds: int) -> str:
+def _bisect_sql(most: int, start: float, rounds: int, ratio: float = 1.0) -> str:
     """The same set-wise search, unrolled."""
     parts = [f"s0 as (select tile_id, {start}::double as lo, {start * 10}::double as hi, null::double as best, null::bigint as bn from uav group by 1)"]
     for i in range(rounds):
         parts.append(
             f"n{i} as (select tile_id, count(distinct (floor((x - x0) / ((lo + hi) / 2 / 100)), floor((y - y0) / ((lo + hi) / 2 / 100)), "
-            f"floor((z - z0) / ((lo + hi) / 2 / 100 * 1.0::double)))) as n from uav join o using (tile_id) join s{i} using (tile_id) where hi - lo > 0.5 group by 1)"
+            f"floor((z - z0) / ((lo + hi) / 2 / 100 * {ratio!r}::double)))) as n from uav join o using (tile_id) join s{i} using (tile_id) where hi - lo > 0.5 group by 1)"
         )
         parts.append(
             f"s{i + 1} as (select tile_id, case when n > {most} then (lo + hi) / 2 else lo end as lo, case when n <= {most} then (lo + hi) / 2 else hi end as hi, "
@@ -67,7 +70,30 @@ def adaptive_voxel_sizes(spark, d):
     return vx.adaptive_sizes(_uav(spark, d), 300, 20.0, 1.0).select("tile_id", "size_cm")
 
 
-@query("adaptive_downsample")
+def _growth_sql(most: int, ratio: float, start: str, passes: int) -> str:
+    """Sizes that grow until the cap is met, unrolled; ``g<passes>`` has the final ones."""
+    parts = [f"g0 as (select tile_id, lo as cur, best from {start})"]
+    factor = 0.5
+    for i in range(passes):
+        parts.append(
+            f"m{i} as (select tile_id, count(distinct (floor((x - x0) / (cur / 100)), floor((y - y0) / (cur / 100)), "
+            f"floor((z - z0) / (cur / 100 * {ratio!r}::double)))) as n from uav join o using (tile_id) join g{i} using (tile_id) where best is null group by 1)"
+        )
+        more = f"least(5.0::double, {factor!r}::double * (n::double / {most}.0::double))"
+        parts.append(
+            f"g{i + 1} as (select tile_id, case when n > {most} then cur + {more} else cur end as cur, "
+            f"case when n <= {most} then cur else best end as best from g{i} left join m{i} using (tile_id))"
+        )
+        factor *= 1.2
+    return ",\n".join(parts)
+
+
+@query("adaptive_downsample", f"""with {POINTS}, {UAV}, o as (select tile_id, min(x) as x0, min(y) as y0, min(z) as z0 from uav group by 1),
+{_bisect_sql(300, 20.0, 10, 0.5)},
+{_growth_sql(300, 0.5, 's10', 24)}, nn as (select tile_id, count(*) as n from uav group by 1),
+big as (select u.*, best / 100 as size from uav u join nn using (tile_id) join g24 using (tile_id) where n > 300),
+{_thinned_sql('size', 0.5, 'big')}
+select tile_id, pid, {rr('x', 'y', 'z')} from bs union all select tile_id, pid, {rr('x', 'y', 'z')} from uav join nn using (tile_id) where n <= 300""")
 def adaptive_downsample(spark, d):
     return vx.adaptive_downsample(_uav(spark, d), 300, 20.0, 0.5)
 

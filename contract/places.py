@@ -455,7 +455,23 @@ def utm_round_trip(spark, d):
     return there.select("c_custkey", lon.alias("lon"), lat.alias("lat"))
 
 
-@query("boxes_in_degrees")
+def _degrees_sql():
+    _, rect, _, inv, lat = geo._series()
+    xi = "xi0" + "".join(f" - {k!r}::double * sin({2 * j} * xi0) * ((exp({2 * j} * eta0) + exp(-{2 * j} * eta0)) / 2)" for j, k in enumerate(inv, 1))
+    eta = "eta0" + "".join(f" - {k!r}::double * cos({2 * j} * xi0) * ((exp({2 * j} * eta0) - exp(-{2 * j} * eta0)) / 2)" for j, k in enumerate(inv, 1))
+    phi = "chi" + "".join(f" + {k!r}::double * sin({2 * j} * chi)" for j, k in enumerate(lat, 1))
+    return f"""with {TILES}, moved as (select tile_id, xmin + 450000 as xmin, ymin + 3800000 as ymin, xmax + 450000 as xmax, ymax + 3800000 as ymax from tiles),
+s as (select unnest(range(21)) / 20.0::double as s),
+edge as (select tile_id, xmin + (xmax - xmin) * s as x, ymin as y from moved, s union all select tile_id, xmin + (xmax - xmin) * s, ymax from moved, s
+  union all select tile_id, xmin, ymin + (ymax - ymin) * s from moved, s union all select tile_id, xmax, ymin + (ymax - ymin) * s from moved, s),
+a as (select tile_id, y / {0.9996 * rect!r}::double as xi0, (x - 500000) / {0.9996 * rect!r}::double as eta0 from edge),
+c as (select tile_id, {xi} as xi, {eta} as eta from a),
+e as (select tile_id, xi, (exp(eta) - exp(-eta)) / 2 as sh, asin(sin(xi) / ((exp(eta) + exp(-eta)) / 2)) as chi from c),
+ll as (select tile_id, -117 + degrees(atan2(sh, cos(xi))) as lon, degrees({phi}) as lat from e)
+select tile_id, {r('min(lon)', 't_xmin')}, {r('min(lat)', 't_ymin')}, {r('max(lon)', 't_xmax')}, {r('max(lat)', 't_ymax')} from ll group by 1"""
+
+
+@query("boxes_in_degrees", _degrees_sql())
 def boxes_in_degrees(spark, d):
     moved = b.tiles(spark, d).select(
         "tile_id", *[(F.col(c) + o).alias(c) for c, o in zip(sp.BOX, (450000.0, 3800000.0) * 2)]

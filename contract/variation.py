@@ -206,6 +206,16 @@ def augment_sequence_pixels(spark, d):
     return a.augment_pixels(px, "42", draws, 4, 4, _BANDS).select("event_id", "row", "col", "v")
 
 
+@query("augment_sequence_dates", f"""with {PIXELS}, im as (select distinct tile_id, sensor, image_id, cast(date_diff('day', date '2024-01-15', dt) as double) as rel from pixels)
+select tile_id, sensor, image_id, {r(f"rel + case when {t('do_shift_dates')} < 0.4 then -30.0 + 60.0 * {draw(chr(39) + '42' + chr(39), chr(39) + 'dates' + chr(39), 'tile_id', 'sensor')} else 0 end", 'rel_days')} from im""")
+def augment_sequence_dates(spark, d):
+    px = b.pixels(spark, d)
+    images = px.select(
+        "tile_id", "sensor", "image_id", F.date_diff("dt", F.lit("2024-01-15").cast("date")).cast("double").alias("rel_days")
+    ).distinct()
+    return a.augment_images(images, "42", a.step_draws(px, "42"))
+
+
 _DO = {"rotate": 1.0, "reflect": 0.5, "mask_points": 0.5, "add_points": 0.2}
 
 
@@ -279,7 +289,14 @@ def weighted_copies(spark, d):
     return a.weighted_copies(w, 250, "42").select("new_id", "copy")
 
 
-@query("capped_copies")
+@query("capped_copies", f"""with {POINTS}, {WEIGHTS},
+so as (select tile_id, p, row_number() over (order by p desc, tile_id) - 1 as k, sum(p) over () as s, count(*) over () as n,
+  coalesce(sum(p) over (order by p desc, tile_id rows between unbounded preceding and 1 preceding), 0) as above from wt),
+fx as (select min_by((250 - 4 * k) / (s - above), k) as f from so where p * (250 - 4 * k) / (s - above) < 4),
+ex as (select tile_id, case when 4 * n <= 250 then 4.0::double else least(p * f, 4.0::double) end as e, {draw("'42'", 'tile_id')} as u from so, fx),
+cu as (select *, sum(e) over (order by u, tile_id) as upto from ex),
+ct as (select tile_id, cast(floor(round(upto, 9) + {draw("'42'", "'start'")}) - floor(round(upto - e, 9) + {draw("'42'", "'start'")}) as int) as n from cu)
+select tile_id || '_aug_' || cast(i as varchar) as new_id, tile_id, cast(i as int) as copy from ct, (select unnest(range(5)) as i) where i < n""")
 def capped_copies(spark, d):
     return a.weighted_copies(_weights(spark, d).select("tile_id", "p"), 250, "42", cap=4)
 

@@ -230,14 +230,14 @@ def _gamma(alpha: float):
     @F.pandas_udf("double")
     def draw(key: pd.Series) -> pd.Series:
         # squeeze method for shapes of at least 1: cube of a shifted normal, tested by a uniform
-        d = alpha - 1.0 / 3.0
+        d = (alpha if alpha >= 1.0 else alpha + 1.0) - 1.0 / 3.0
         c = 1.0 / np.sqrt(9.0 * d)
         base = key.to_numpy().astype(np.int64).view(np.uint64)
         out = np.ones(len(base))
         open_ = np.ones(len(base), dtype=bool)
-        for attempt in range(24):
-            if not open_.any():
-                break
+        attempt = -1
+        while open_.any():
+            attempt += 1
             with np.errstate(over="ignore"):
                 at = base[open_] + np.uint64(1000003 * attempt)
                 u1, u2, u3 = (_mix(at + np.uint64(17 * j + 1)) for j in range(3))
@@ -248,6 +248,10 @@ def _gamma(alpha: float):
             where = np.flatnonzero(open_)[good]
             out[where] = d * v[good] / alpha
             open_[where] = False
+        if alpha < 1.0:
+            # A smaller shape is one more than it, times a power of a uniform.
+            with np.errstate(over="ignore"):
+                out = out * _mix(base + np.uint64(7)) ** (1.0 / alpha)
         return pd.Series(out)
 
     return draw
@@ -310,12 +314,9 @@ def augment_points(points: DataFrame, seed, draws: DataFrame, attributes: list[s
     rows = reflect_points(rows, F.when(F.col("do_reflect"), F.col("axis")).otherwise(F.lit("none")))
     rows = jitter(rows, seed, when=F.col("do_jitter"))
     if attributes:
-        changed = scale_attributes(rows, seed, attributes)
-        keep = {a: F.when(F.col("do_attributes"), F.col(f"_new_{a}")).otherwise(F.col(a)) for a in attributes}
-        renamed = changed.select("tile_id", "pid", *[F.col(a).alias(f"_new_{a}") for a in attributes])
-        rows = rows.join(renamed, ["tile_id", "pid"])
-        for a, value in keep.items():
-            rows = rows.withColumn(a, value)
+        rows = scale_attributes(rows.select("*", *[F.col(a).alias(f"_old_{a}") for a in attributes]), seed, attributes)
+        for a in attributes:
+            rows = rows.withColumn(a, F.when(F.col("do_attributes"), F.col(a)).otherwise(F.col(f"_old_{a}")))
     rows = rows.select(*columns)
     for step, op in (
         ("add_points", add_points), ("remove_points", remove_points),
@@ -347,6 +348,14 @@ def augment_pixels(
     return radar.withColumn("v", v).select(*columns)
 
 
+def augment_images(images: DataFrame, seed, draws: DataFrame, most: float = 30.0, column: str = "rel_days") -> DataFrame:
+    """A12 on image rows: the dates of the chosen tiles move, by one shift per tile and sensor."""
+    rows = images.join(draws.select("tile_id", "do_shift_dates"), "tile_id").withColumn("_old", F.col(column))
+    moved = shift_dates(rows, seed, most, column)
+    day = F.when(F.col("do_shift_dates"), F.col(column)).otherwise(F.col("_old"))
+    return moved.withColumn(column, day).select(*images.columns)
+
+
 # --- expansion ---------------------------------------------------------------
 
 
@@ -356,10 +365,11 @@ def copies_per_tile(tiles: DataFrame, n: int) -> DataFrame:
     return ids.withColumn("new_id", F.concat("tile_id", F.lit("_aug_"), F.col("copy").cast("string")))
 
 
-def capped_shares(weights: DataFrame, total: int, cap: float | None, rounds: int = 50) -> DataFrame:
+def capped_shares(weights: DataFrame, total: int, cap: float | None) -> DataFrame:
     """Expected copies p * total; what a cap cuts off goes to the others in proportion.
 
-    The common factor is found from a few global sums.
+    The common factor is found from global sums: it only grows, and with it the number of
+    tiles at the cap, so the search ends once a round adds none.
     """
     weights = cut_lineage(weights)
     sums = weights.agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")).first()
@@ -370,7 +380,7 @@ def capped_shares(weights: DataFrame, total: int, cap: float | None, rounds: int
         if cap * sums["n"] <= total:
             return weights.withColumn("expected", F.lit(float(cap)))
         full = -1
-        for _ in range(rounds):
+        while True:
             over = F.col("p") * F.lit(factor) >= F.lit(float(cap))
             seen = weights.agg(
                 F.count(F.when(over, 1)).alias("k"), F.sum(F.when(~over, F.col("p"))).alias("rest")
