@@ -264,8 +264,14 @@ def test_quality(spark, none):
     labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows] + [(None, 1, None), (5, 1, None)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r for r in quality.score_quality(docs, labels).collect()}
     assert len(kept) == len(rows) + 3
-    assert all(kept[r[0]]["kept"] == (r[3] == 1) for r in rows)
     assert not kept[900]["kept"] and kept[900]["perplexity"] is None and not kept[901]["kept"] and kept[None]["kept"]
+    assert all(kept[r[0]]["kept"] == (r[3] == 1) for r in rows)
+    # A text goes by what it lacks in all: one short by less than the allowance stays.
+    lacks = lambda r: r["n_scored"] * (math.log(r["perplexity"]) - math.log(r["threshold"]))
+    bad_lacks = min(lacks(r) for r in kept.values() if r["perplexity"] and not r["kept"])
+    assert bad_lacks > quality.ALLOWANCE
+    more = quality.score_quality(docs, labels, allowance=bad_lacks + 1e-6).where("kept").collect()
+    assert all(r["kept"] == (lacks(r) <= bad_lacks + 1e-6) for r in more) and {r["doc_id"] for r in more} > {i for i, r in kept.items() if r["kept"]}
     assert quality.score_quality(none, labels).collect() == []
     free = quality.score_quality(docs, labels.limit(0)).collect()
     assert all(r["kept"] == (r["perplexity"] is not None) for r in free)
