@@ -382,3 +382,38 @@ def test_vantage_point_shards_lose_no_link():
                 seen[new] = True
                 todo += new.tolist()
     assert apart == groups
+
+
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_are_found_at_their_similarity(spark):
+    rnd = random.Random(8)
+    draw = lambda n: [rnd.choice(VOCABULARY[:400]) + str(rnd.randrange(50)) for _ in range(n)]
+    rows, pairs, apart = [], [], []
+    for k in range(120):
+        base = draw(rnd.randint(120, 400))
+        copy = base.copy()
+        for at in rnd.sample(range(len(base)), max(1, len(base) * rnd.choice([1, 2, 8]) // 100)):
+            copy[at] = "new%d" % rnd.randrange(10**6)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy).upper())]
+        x, y = (five_words(t) for _, t in rows[-2:])
+        (pairs if len(x & y) / len(x | y) >= 0.8 else apart).append(2 * k + 1)
+    rows += [(1003, " ".join(draw(3))), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r["doc_id"] for r in simhash_dedup.keep_one(docs).collect()}
+    assert len(pairs) > 60 and len(apart) > 20
+    assert not left & set(pairs)
+    assert left >= set(apart) | {2 * k for k in range(120)} | {1003, None}
+
+
+def test_large_bucket_is_searched_beyond_its_star(spark):
+    base = ["b%d" % k for k in range(200)]
+    # Neighbours differ by two shingle runs; the ends of the row are far from each other.
+    rows = [(k, " ".join(base[2 * k :] + ["t%d" % j for j in range(2 * k)])) for k in range(40)]
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [five_words(t) for _, t in rows]
+    near = [i for i in range(1, 40) if len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) >= 0.8]
+    assert len(near) == 39 and [r["doc_id"] for r in got] == [0]
