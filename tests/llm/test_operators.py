@@ -417,3 +417,20 @@ def test_large_bucket_is_searched_beyond_its_star(spark):
     sets = [five_words(t) for _, t in rows]
     near = [i for i in range(1, 40) if len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) >= 0.8]
     assert len(near) == 39 and [r["doc_id"] for r in got] == [0]
+
+
+def test_quality_keeps_clean_documents_it_was_not_trained_on(spark):
+    rnd = random.Random(4)
+    letters = "etaoinshrdlucmfwyp"
+    lexicon = ["".join(rnd.choices(letters, weights=range(18, 0, -1), k=rnd.randint(2, 9))) for _ in range(4000)]
+    clean = lambda: " ".join(rnd.choice(lexicon) for _ in range(60))
+    junk = lambda: "".join(rnd.choice("#$%&@{}<>|~^ 0123456789") for _ in range(300))
+    rows = [(k, clean(), "en") for k in range(240)] + [(1000 + k, junk(), "en") for k in range(20)]
+    rows += [(2000 + k, clean()[::-1], "yy") for k in range(60)] + [(3000, clean(), "zz")]
+    labels = [(k, 1, 0) for k in range(160)] + [(2000 + k, 1, 0) for k in range(20)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, labels).collect()}
+    assert sum(got[k]["kept"] for k in range(160, 240)) >= 76
+    assert not any(got[1000 + k]["kept"] for k in range(20))
+    # Too few trusted documents to judge a language by.
+    assert all(r["kept"] and r["threshold"] is None for i, r in got.items() if i >= 2000)
