@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileloom.operators import augment, quality, ranks, report, spatial
+from tileloom.plans import split_precompute
 
 
 def cloud(spark, sizes):
@@ -43,3 +44,27 @@ def test_more_than_a_thousand_metrics(spark):
     metrics = spark.createDataFrame([("t", "a", k, 1.0) for k in names], "tile_id string, model string, metric string, v double")
     wide = report.samples_by_model(metrics, ["a"], names)
     assert "a_m1099" in wide.columns
+
+
+@pytest.mark.parametrize("ratio, n", [(0.0, 0), (0.35, 35), (1.0, 100)])
+@pytest.mark.parametrize("column", ["source", "_all", "_n", "_c"])
+def test_random_part_is_exact(spark, ratio, n, column):
+    tiles = spark.range(100).selectExpr("concat('t', id) as tile_id", f"'x' as {column}")
+    part = split_precompute.random_part(tiles, ratio, "5")
+    assert part.columns == ["tile_id", column] and part.count() == n
+    assert part.select("tile_id").distinct().count() == n
+
+
+@pytest.mark.parametrize("column", ["_u", "_b", "_c", "_n", "_all", "_want", "_before", "_last", "_left", "_rn", "_R", "_r"])
+def test_lowest_n_leaves_columns_named_like_its_helpers(spark, column):
+    points = spark.range(60).selectExpr(f"id % 3 as {column}", "id")
+    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
+    kept = ranks.lowest_n(points, [column], draw, 7, ["id"])
+    assert {(r[0], r["count"]) for r in kept.groupBy(column).count().collect()} == {(0, 7), (1, 7), (2, 7)}
+    other = ranks.lowest_n(points.withColumn("g", F.lit(1)), ["g"], draw, 7, ["id"])
+    assert other.count() == 7 and other.columns == [column, "id", "g"]
+
+
+def test_percentiles_refuse_columns_named_like_their_helpers(spark):
+    with pytest.raises(ValueError):
+        ranks.percentiles(spark.createDataFrame([(1, 2.0)], "c int, v double"), ["c"], "v", [0.5])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tileloom.functions.draws import normal, pick, uniform, uniform_between
-from tileloom.operators.ranks import global_percentiles, lowest_n, running_total, totals
+from tileloom.operators.ranks import global_percentiles, lowest_n, running_total, spare, totals
 from tileloom.session import cut_lineage
 
 ORDER = ["x", "y", "z", "pid"]
@@ -71,10 +71,10 @@ def add_points(points: DataFrame, seed, ratio: float = 0.1, max_distance: float
 def _thin(inside: DataFrame, seed, step: str, low: float, high: float) -> DataFrame:
     """Keep what a random removal share of the marked rows leaves."""
     columns = inside.columns
-    share = inside.withColumn("_r", uniform_between(low, high, seed, step + "_share", F.col("tile_id")))
-
+    (lost,) = spare(inside, "_r")
+    share = inside.withColumn(lost, uniform_between(low, high, seed, step + "_share", F.col("tile_id")))
     left = lowest_n(
-        share, ["tile_id", "_r"], _point_draw(seed, step), lambda n: n - (n * F.col("_r")).cast("long"), ORDER
+        share, ["tile_id", lost], _point_draw(seed, step), lambda n: n - (n * F.col(lost)).cast("long"), ORDER
     )
     return left.select(*columns)
 

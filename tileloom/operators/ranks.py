@@ -25,6 +25,18 @@ def totals(df: DataFrame, **aggregates: Column) -> Column:
     return one.select(F.struct(*aggregates)).scalar()
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the caller calls its own."""
+    have = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        free.append(name)
+    return free
+
+
 def lowest_n(
     df: DataFrame,
     group: list[str],
@@ -45,23 +57,26 @@ def lowest_n(
     """
     wanted = keep if callable(keep) else (lambda _: F.lit(keep))
     columns = df.columns
-    rows = df.withColumn("_u", draw).withColumn("_b", F.floor(F.col("_u") * F.lit(buckets)))
+    u, b, c, n, want, before, last, left, rn = spare(
+        df, "_u", "_b", "_c", "_n", "_want", "_before", "_last", "_left", "_rn"
+    )
+    rows = df.withColumn(u, draw).withColumn(b, F.floor(F.col(u) * F.lit(buckets)))
     whole = Window.partitionBy(*group)
     limit = (
-        rows.groupBy(*group, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_all", F.sum("_c").over(whole))
-        .withColumn("_want", F.least(wanted(F.col("_all")).cast("long"), F.col("_all")))
-        .withColumn("_before", F.sum("_c").over(whole.orderBy("_b")) - F.col("_c"))
-        .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c")))
-        .select(*group, F.col("_b").alias("_last"), (F.col("_want") - F.col("_before")).alias("_left"))
+        rows.groupBy(*group, b)
+        .agg(F.count(F.lit(1)).alias(c))
+        .withColumn(n, F.sum(c).over(whole))
+        .withColumn(want, F.least(wanted(F.col(n)).cast("long"), F.col(n)))
+        .withColumn(before, F.sum(c).over(whole.orderBy(b)) - F.col(c))
+        .where((F.col(before) < F.col(want)) & (F.col(want) <= F.col(before) + F.col(c)))
+        .select(*group, F.col(b).alias(last), (F.col(want) - F.col(before)).alias(left))
     )
-    inside = Window.partitionBy(*group, "_b").orderBy("_u", *tiebreak)
+    inside = Window.partitionBy(*group, b).orderBy(u, *tiebreak)
     return (
         rows.join(limit, group)
-        .where(F.col("_b") <= F.col("_last"))
-        .withColumn("_rn", F.row_number().over(inside))
-        .where((F.col("_b") < F.col("_last")) | (F.col("_rn") <= F.col("_left")))
+        .where(F.col(b) <= F.col(last))
+        .withColumn(rn, F.row_number().over(inside))
+        .where((F.col(b) < F.col(last)) | (F.col(rn) <= F.col(left)))
         .select(*columns)
     )
 
@@ -158,6 +173,9 @@ def percentiles(
     than ``hot_rows`` those groups go through the bucketed histogram instead, so no
     task ever holds one. Null values are left out.
     """
+    taken = {"q", "c", "start", "_n", "_t", "_b1", "_b2", "_bc", "_bs", "_lo", "_hi", "_m"} & {*group, value}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are named like helper columns; rename them first")
     rows = df.where(F.col(value).isNotNull()).select(*group, value)
     built_in = F.percentile(value, F.array(*[F.lit(float(p)) for p in ps])).alias("q")
     if not has_hot_group(rows, group, hot_rows):
@@ -182,8 +200,8 @@ def named_percentiles(df, group, value, names: dict[str, float], **options) -> D
 
 def global_percentiles(df: DataFrame, value: str, names: dict[str, float]) -> Column:
     """Percentiles over the whole frame as a struct column (scalar subquery)."""
-    keyed = df.select(F.lit(0).alias("_all"), value)
-    found = named_percentiles(keyed, ["_all"], value, names)
+    one = "one_group" if value != "one_group" else "one_group_"
+    found = named_percentiles(df.select(F.lit(0).alias(one), value), [one], value, names)
     return found.select(F.struct(*names)).scalar()
 
 
@@ -198,18 +216,17 @@ def running_total(
     from tileloom.functions.draws import uniform
 
     count = totals(df, n=F.count(F.lit(1)))
-    rows = df.withColumn("_u", uniform(seed, F.col(key)))
-    rows = rows.withColumn(
-        "_b", F.floor(F.col("_u") * F.ceil(count["n"] / F.lit(rows_per_bucket)))
-    )
-    per_bucket = rows.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = per_bucket.withColumn(
-        "_before", F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_s")
-    ).drop("_s")
-    inside = Window.partitionBy("_b").orderBy("_u", key)
+    u, b, part, before = spare(df, "_u", "_b", "_s", "_before")
+    rows = df.withColumn(u, uniform(seed, F.col(key)))
+    rows = rows.withColumn(b, F.floor(F.col(u) * F.ceil(count["n"] / F.lit(rows_per_bucket))))
+    per_bucket = rows.groupBy(b).agg(F.sum(value).alias(part))
+    earlier = per_bucket.withColumn(
+        before, F.sum(part).over(Window.partitionBy(F.lit(0)).orderBy(b)) - F.col(part)
+    ).drop(part)
+    inside = Window.partitionBy(b).orderBy(u, key)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.join(before, "_b")
-        .withColumn("upto", F.col("_before") + F.sum(value).over(inside))
-        .drop("_u", "_b", "_before")
+        rows.join(earlier, b)
+        .withColumn("upto", F.col(before) + F.sum(value).over(inside))
+        .drop(u, b, before)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tileloom.functions.draws import uniform
 from tileloom.operators import imagery, neighbors, normalize, quality
-from tileloom.operators.ranks import lowest_n
+from tileloom.operators.ranks import lowest_n, spare
 from tileloom.operators.spatial import tiles_on_polygons
 from tileloom.operators.voxel import adaptive_downsample
 from tileloom.session import cut_lineage
@@ -14,10 +14,11 @@ from tileloom.session import cut_lineage
 
 def random_part(tiles: DataFrame, ratio: float, seed) -> DataFrame:
     """int(n * ratio) tiles by hash, exactly."""
-    keyed = tiles.withColumn("_all", F.lit(0))
+    (one,) = spare(tiles, "_all")
+    keyed = tiles.withColumn(one, F.lit(0))
     draw = uniform(seed, F.col("tile_id"))
-    part = lowest_n(keyed, ["_all"], draw, lambda n: (n * F.lit(float(ratio))).cast("long"), ["tile_id"])
-    return part.drop("_all")
+    part = lowest_n(keyed, [one], draw, lambda n: (n * F.lit(float(ratio))).cast("long"), ["tile_id"])
+    return part.drop(one)
 
 
 def split_tiles(checked: DataFrame, polys: DataFrame, width: float, test_ratio: float, seed) -> DataFrame:
