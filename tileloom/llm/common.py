@@ -84,9 +84,10 @@ def blocks(bounds: np.ndarray, most: int = BLOCK_BYTES):
         first = min(last, n)
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray):
-    """Start, end and document of every word; ``bounds`` are those of the documents in ``data``."""
-    gap = SPACE[data]
+def word_bounds(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE):
+    """Start, end and document of every word; ``bounds`` are those of the documents in ``data``, and
+    ``space`` tells which bytes separate words."""
+    gap = space[data]
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
