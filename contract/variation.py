@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from contract.base import PIXELS, POINTS, draw, finite, query, r, rr
 from tileloom import bindings as b
 from tileloom.operators import augment as a, ranks
-from tileloom.operators.neighbors import edge_table
 from tileloom.operators.quality import augmentation_violations
 
 COLS = ["tile_id", "pid", "x", "y", "z"]
@@ -183,22 +182,6 @@ def augment_speckle(spark, d):
     return a.radar_speckle(px, "42").select("event_id", "v")
 
 
-def _dep(spark, d):
-    return b.points(spark, d).where("cloud = 'dep'").select(*COLS, "intensity", "return_number")
-
-
-@query("augment_sequence")
-def augment_sequence(spark, d):
-    dep = _dep(spark, d)
-    return a.augment_points(dep, "42", a.step_draws(dep, "42"), ["intensity", "return_number"])
-
-
-@query("augment_sequence_graph")
-def augment_sequence_graph(spark, d):
-    dep = _dep(spark, d)
-    return edge_table(a.augment_points(dep, "42", a.step_draws(dep, "42")), 4)
-
-
 @query("augment_sequence_pixels")
 def augment_sequence_pixels(spark, d):
     draws = a.step_draws(b.pixels(spark, d).withColumn("pid", F.col("event_id")), "42")

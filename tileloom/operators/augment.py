@@ -401,14 +401,18 @@ def weighted_copies(weights: DataFrame, total: int, seed, cap: int | None = None
     Every tile gets the floor or ceiling of its expected number, and together they
     make the total (up to one for rounding). Columns tile_id, copy, new_id.
     """
-    expected = capped_shares(weights, total, cap)
+    n = systematic(capped_shares(weights, total, cap), seed)
+    ids = n.select("tile_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    return ids.withColumn("new_id", F.concat("tile_id", F.lit("_aug_"), F.col("copy").cast("string")))
+
+
+def systematic(expected: DataFrame, seed) -> DataFrame:
+    """(tile_id, n): the floor or ceiling of each tile's ``expected``, 0 left out."""
     along = running_total(expected, "expected", seed, "tile_id")
     start = uniform(seed, "start")
     first = F.floor(F.round(F.col("upto") - F.col("expected"), 9) + start)
     last = F.floor(F.round(F.col("upto"), 9) + start)
-    n = along.withColumn("_n", (last - first).cast("int")).where(F.col("_n") > 0)
-    ids = n.select("tile_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    return ids.withColumn("new_id", F.concat("tile_id", F.lit("_aug_"), F.col("copy").cast("string")))
+    return along.select("tile_id", (last - first).cast("int").alias("n")).where(F.col("n") > 0)
 
 
 def expand(points: DataFrame, copies: DataFrame) -> DataFrame:
