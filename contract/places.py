@@ -7,7 +7,7 @@ from contract.base import (
 )
 from tileloom import bindings as b
 from tileloom.functions import geo, names, values as v
-from tileloom.operators import quality as q, spatial as sp
+from tileloom.operators import cover as cv, quality as q, spatial as sp
 from tileloom.sources import catalog as cat, tiles as tl
 
 _ITEM_BOX = ("minx", "miny", "maxx", "maxy")
@@ -312,11 +312,52 @@ c as (select w.pid, w.cloud, w.x, w.y, p.poly_id from world w, polys p
   group by 1, 2, 3, 4, 5 having count(*) % 2 = 1)
 select cloud, count(distinct (pid, x, y)) as n from c group by 1""")
 def points_in_polygons(spark, d):
-    p = b.world_points(spark, d).withColumn("tile_id", F.lit("plane"))
-    inside = sp.points_in_polygons(p, b.polygons(spark, d), 2.0)
+    inside = cv.points_in_polygons(b.world_points(spark, d), b.polygons(spark, d), 0.5)
     return inside.groupBy("cloud").agg(F.count_distinct("pid", "x", "y").alias("n"))
 
 
+_RAY = "((y1 <= {y} and {y} < y2) or (y2 <= {y} and {y} < y1)) and x1 + ({y} - y1) * (x2 - x1) / nullif(y2 - y1, 0) > {x}"
+#: Polygons of many corners around the same places: a ring of 24 corners, and a hole of half its size.
+STARS = """stars_c as (select 'star_' || cast(n_nationkey as varchar) as poly_id, ((n_nationkey * 37) % 100) + 3.25::double as px, ((n_nationkey * 53) % 100) + 2.75::double as py,
+    9.5::double + (n_nationkey % 7) * 3.5::double as pr from nation),
+turn as (select i, s from (select unnest(range(24)) as i), (select unnest([1.0::double, 0.5::double]) as s)),
+corner as (select poly_id, i, s, px + pr * s * (case when i % 2 = 0 then 1.0::double else 0.55::double end) * ((i * 7 + 3) % 24 - 11.5::double) / 12 as x,
+  py + pr * s * (case when i % 2 = 0 then 1.0::double else 0.55::double end) * ((i * 11 + 5) % 24 - 11.5::double) / 12 as y from stars_c, turn),
+stars as (select a.poly_id, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from corner a join corner b on a.poly_id = b.poly_id and a.s = b.s and b.i = (a.i + 1) % 24)"""
+
+
+def _stars(spark, d):
+    """Self-crossing rings, which parity handles as well."""
+    base = b.table(spark, d, "nation").selectExpr(
+        "concat('star_', cast(n_nationkey as string)) as poly_id", "((n_nationkey * 37) % 100) + 3.25D as px",
+        "((n_nationkey * 53) % 100) + 2.75D as py", "9.5D + (n_nationkey % 7) * 3.5D as pr",
+    )
+    corners = base.selectExpr("*", "explode(array(1.0D, 0.5D)) as s").selectExpr("*", "explode(sequence(0, 23)) as i").selectExpr(
+        "poly_id", "i", "s",
+        "px + pr * s * (case when i % 2 = 0 then 1.0D else 0.55D end) * ((i * 7 + 3) % 24 - 11.5D) / 12 as x",
+        "py + pr * s * (case when i % 2 = 0 then 1.0D else 0.55D end) * ((i * 11 + 5) % 24 - 11.5D) / 12 as y",
+    )
+    after = corners.selectExpr("poly_id", "s", "(i + 23) % 24 as i", "x as x2", "y as y2")
+    return corners.selectExpr("poly_id", "s", "i", "x as x1", "y as y1").join(after, ["poly_id", "s", "i"]).select("poly_id", "x1", "y1", "x2", "y2")
+
+
+@query("points_in_areas", f"""with {WORLD_POINTS}, {STARS}
+select pid, cloud, {rr('x', 'y')}, area_id from (select w.pid, w.cloud, w.x, w.y, p.poly_id as area_id from (select distinct pid, cloud, x, y from world) w, stars p where {_RAY.format(x='w.x', y='w.y')}
+  group by all having count(*) % 2 = 1)""")
+def points_in_areas(spark, d):
+    world = b.world_points(spark, d).select("pid", "cloud", "x", "y").distinct()
+    return cv.points_in_areas(world, _stars(spark, d), 0.5, 4)
+
+
+@query("pixels_in_areas", f"""with {PIXELS}, {STARS},
+u as (select *, 10.0::double * (user_id % 10) + (col + 0.5) * 2.5 as x, 10.0::double * (user_id // 10 % 10) + 10 - (row + 0.5) * 2.5 as y from pixels)
+select event_id, area_id from (select u.event_id, p.poly_id as area_id from u, stars p where {_RAY.format(x='u.x', y='u.y')} group by all having count(*) % 2 = 1)""")
+def pixels_in_areas(spark, d):
+    px = b.pixels(spark, d)
+    boxes = px.selectExpr("tile_id", "10.0D * (user_id % 10) as xmin", "10.0D * (user_id div 10 % 10) + 10 as ymax").distinct()
+    return cv.pixels_in_areas(px, boxes, _stars(spark, d), 2.5, 0.5).select("event_id", "area_id")
+
+
 @query("points_in_area", f"""with {WORLD_POINTS} select cloud, count(*) as n, {r('max(z)', 'top')} from world
 where x between 12.5 and 47 and y between 3 and 66.25 group by 1""")
 def points_in_area(spark, d):

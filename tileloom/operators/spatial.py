@@ -181,24 +181,6 @@ def tiles_on_polygons(
     return verdict.where(keep).select("tile_id", "poly_id")
 
 
-def points_in_polygons(points: DataFrame, polys: DataFrame, height: float) -> DataFrame:
-    """F16, polygon form: the points inside at least one polygon.
-
-    ``points`` needs a unique ``pid`` per (tile_id, cloud). Edges and points meet on
-    the y band; the parity per (point, polygon) is a partial aggregate.
-    """
-    key = ["tile_id", "cloud", "pid", "x", "y"]
-    p = points.select(*key, F.floor(F.col("y") / F.lit(float(height))).alias("band"))
-    hits = p.join(_edge_bands(polys, height), "band").where(_ray_hit(F.col("x"), F.col("y")))
-    inside = (
-        hits.groupBy(*key, "poly_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") % 2 == 1)
-        .select(*key)
-    )
-    return points.join(inside, key, "left_semi")
-
-
 # --- tiling ------------------------------------------------------------------
 
 
