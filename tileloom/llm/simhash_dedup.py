@@ -27,7 +27,7 @@ SEED = 42
 #: Fingerprints the tree is fitted on; an upper bound whatever the corpus.
 SAMPLE = 16_384
 #: Distinct fingerprints in a shard, and in a part of it that is compared pair by pair.
-SHARD, PART = 16_384, 1_024
+SHARD, PART = 131_072, 4_096
 
 PRINTS = "doc_id long, fp long"
 
