@@ -48,6 +48,13 @@ def fresh(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
 
 
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, the same on every run."""
+    row = F.struct(*[F.col(f"`{n}`") for n in columns])
+    picked = rows.groupBy(*keys).agg(F.min_by(row, F.struct(F.xxhash64(row), F.to_json(row))).alias("row_of_each"))
+    return picked.select("row_of_each.*")
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tileloom.llm import common as c
+from tileloom.session import cut_lineage
 
 #: Live rows of a shard, on average.
 SHARD_ROWS = 1 << 17
 SLOTS, KICKS = 4, 500
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 DIGESTS = "doc_id long, digest binary"
 KEPT = "digest binary, keep_id long, group_size long"
@@ -186,10 +188,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_last(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each distinct text; all columns.
 
-    Rows with equal ids count as one document. Rows without an id all stay, as no id names them.
+    Of rows with one id and one text one is left; rows with one id and several texts stay for each
+    of these that names that id. Rows without an id all stay, as no id names them.
     """
-    stay = exact_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = cut_lineage(exact_duplicates(docs).where("kept and doc_id is not null").select("doc_id", "digest").distinct())
+    named = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    repeated = cut_lineage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        # Only such rows are told apart by their text.
+        text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, UPPER.lower())
+        again = named.join(repeated, "doc_id", "left_semi").withColumn("digest_of_text", F.unhex(F.sha2(text.cast("binary"), 256)))
+        again = again.join(kept.toDF("doc_id", "digest_of_text"), ["doc_id", "digest_of_text"], "left_semi")
+        one = c.one_of_each(again, ["doc_id", "digest_of_text"], docs.columns)
+        named = named.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
