@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["quality", "grids", "places", "nearest", "figures", "variation", "redraw", "jobs"]
+FAMILIES = ["quality", "grids", "places", "nearest", "figures", "variation", "redraw", "states", "jobs"]
 
 
 def load():

@@ -362,20 +362,18 @@ def coverage(
     )
 
 
-def raster_array(
-    points: DataFrame, res: float, agg: Builder | None, value: str = "hag", ps=None, mode: str = "compat"
-) -> DataFrame:
-    """Raster of any statistic over each cloud's own extent, y axis pointing down.
+def raster_cells(points: DataFrame, res: float, mode: str = "compat", keys: tuple = ("tile_id",)) -> DataFrame:
+    """G11's cell columns: a raster over each cloud's own extent, y axis pointing down.
 
     ``mode='compat'`` uses rounded widths and drops cells outside the array, also
     the lowest line that the flip can push past the last row; ``mode='grid'`` uses
-    the G1 rule. With ``ps`` (percentiles in [0, 1]) the output has one row per band.
+    the G1 rule. A cloud is what shares the ``keys``.
     """
-    extent = points.groupBy("tile_id").agg(
+    extent = points.groupBy(*keys).agg(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1")
     )
     r = F.lit(float(res))
-    rows = points.join(extent, "tile_id")
+    rows = points.join(extent, list(keys))
     if mode == "compat":
         width = F.rint((F.col("_x1") - F.col("_x0")) / r).cast("int")
         height = F.rint((F.col("_y1") - F.col("_y0")) / r).cast("int")
@@ -386,7 +384,18 @@ def raster_array(
     else:
         col = trunc_index(F.col("x"), F.col("_x0"), F.col("_x1"), res)
         row = n_cells(F.col("_y0"), F.col("_y1"), res) - 1 - trunc_index(F.col("y"), F.col("_y0"), F.col("_y1"), res)
-    cells = rows.withColumn("row", row).withColumn("col", col)
+    return rows.withColumn("row", row).withColumn("col", col)
+
+
+def raster_array(
+    points: DataFrame, res: float, agg: Builder | None, value: str = "hag", ps=None, mode: str = "compat"
+) -> DataFrame:
+    """Raster of any statistic over each cloud's own extent (see :func:`raster_cells`).
+
+    With ``ps`` (percentiles in [0, 1]) the output has one row per band. A statistic that no
+    column expression gives goes through ``cell_states`` instead.
+    """
+    cells = raster_cells(points, res, mode)
     if ps is None:
         return cells.groupBy(*CELL).agg(agg(F.col(value)).alias("v"))
     found = percentiles(cells, CELL, value, ps)

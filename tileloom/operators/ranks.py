@@ -230,3 +230,28 @@ def running_total(
         .withColumn("upto", F.col(before) + F.sum(value).over(inside))
         .drop(u, b, before)
     )
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "number") -> DataFrame:
+    """All rows numbered from 0 in the global order of the columns ``order``.
+
+    The sorted rows are written range by range; a range's rows are numbered where they lie, and the
+    counts of the ranges before (one row per range) move the numbers on. Rows equal in ``order`` come
+    in the order of their ranges, so order by a unique key for numbers that are the same on every run.
+    """
+    at, part, n, before = spare(df, "_at", "_part", "_n", "_before")
+    rows = cut_lineage(df.orderBy(*order)).withColumn(at, F.monotonically_increasing_id())
+    rows = rows.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    ranges = rows.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    earlier = ranges.select(part, (F.sum(n).over(Window.partitionBy(F.lit(0)).orderBy(part)) - F.col(n)).alias(before))
+    return rows.join(earlier, part).withColumn(out, F.col(before) + F.col(at)).drop(at, part, before)
+
+
+def numbered_within(df: DataFrame, group: list[str], order: list[str], out: str = "number") -> DataFrame:
+    """Rows numbered from 0 inside each group, which may lie in many tasks."""
+    whole, first = spare(df, "_whole", "_first")
+    rows = numbered(df, [*group, *order], whole)
+    names = spare(rows, *["_" + g for g in group])
+    start = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)]).agg(F.min(whole).alias(first))
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)]
+    return rows.join(start, same).select(*df.columns, (F.col(whole) - F.col(first)).alias(out))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tileloom import schemas
 from tileloom.functions.draws import uniform
+from tileloom.operators.ranks import numbered, numbered_within
 
 
 def tiles_from_features(raw: DataFrame, source: str = "geojson") -> DataFrame:
@@ -58,9 +59,8 @@ def combine_chunks(
         rows = rows.join(files, "source_file", "left_semi")
     if max_tiles is not None:
         tiles = rows.select("source_file", "tile_id").distinct()
-        order = Window.partitionBy("source_file").orderBy("tile_id")
-        first = tiles.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= max_tiles)
-        rows = rows.join(first.drop("_rn"), ["source_file", "tile_id"], "left_semi")
+        first = numbered_within(tiles, ["source_file"], ["tile_id"]).where(F.col("number") < max_tiles)
+        rows = rows.join(first.drop("number"), ["source_file", "tile_id"], "left_semi")
     if as_float:
         rows = rows.select(*[
             F.col(n).cast("float").alias(n) if t == "double" else F.col(n) for n, t in rows.dtypes
@@ -68,19 +68,23 @@ def combine_chunks(
     return rows
 
 
-def with_chunks(tiles: DataFrame, size: int, buckets: int = 4096) -> DataFrame:
-    """Chunk number of each tile: about ``size`` tiles per chunk, from the tile's hash."""
-    count = tiles.agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("n")).scalar()
-    return tiles.withColumn("chunk_ix", F.floor(uniform("chunk", F.col("tile_id")) * count).cast("int"))
+def with_chunks(tiles: DataFrame, size: int) -> DataFrame:
+    """Number and chunk of each tile: exactly ``size`` tiles per chunk in id order, the rest in the last."""
+    placed = numbered(tiles, ["tile_id"], "tile_number")
+    return placed.withColumn("chunk_ix", F.floor(F.col("tile_number") / F.lit(size)).cast("int"))
 
 
-def write_chunks(rows: DataFrame, path: str, size: int, mode: str = "append") -> None:
-    """Rows of the same tile in the same chunk folder, files of bounded length."""
+def write_chunks(rows: DataFrame, path: str, size: int, mode: str = "append", salts: int = 8) -> None:
+    """The rows of ``size`` tiles in each chunk folder, with the tile's number.
+
+    A chunk is written by ``salts`` tasks, each with a share of every tile's rows, so that a tile of
+    very many rows is not one task's; files are of bounded length.
+    """
     chunks = with_chunks(rows.select("tile_id").distinct(), size)
-    placed = rows.join(chunks, "tile_id")
-    placed.repartition("chunk_ix", F.pmod(F.hash("tile_id"), F.lit(8))).sortWithinPartitions(
-        "chunk_ix", "tile_id"
-    ).write.mode(mode).option("maxRecordsPerFile", 2_000_000).partitionBy("chunk_ix").parquet(path)
+    share = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in rows.columns]), F.lit(salts))
+    rows.withColumn("_share", share).join(chunks, "tile_id").repartition("chunk_ix", "_share").sortWithinPartitions(
+        "chunk_ix", "tile_number"
+    ).drop("_share").write.mode(mode).option("maxRecordsPerFile", 2_000_000).partitionBy("chunk_ix").parquet(path)
 
 
 def write_splits(rows: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -143,8 +147,7 @@ def tile_ids(rows: DataFrame) -> DataFrame:
 
 def tile_at(rows: DataFrame, position: int) -> DataFrame:
     """The rows of the tile at a position (from 0) in id order."""
-    first = tile_ids(rows).orderBy("tile_id").limit(position + 1)
-    wanted = first.orderBy(F.col("tile_id").desc()).limit(1)
+    wanted = numbered(tile_ids(rows), ["tile_id"]).where(F.col("number") == position)
     return rows.join(wanted, "tile_id", "left_semi")
 
 
