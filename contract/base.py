@@ -63,6 +63,10 @@ POINTS = """points as (
     l_extendedprice / 4987.3::double as hag, l_suppkey as suppkey, l_tax as tax, l_discount as discount
   from lineitem)"""
 
+#: The same points with each tile's clouds as tiles of their own, for operators that take one cloud.
+CLOUD_POINTS = POINTS.replace("points as (", "both_clouds as (", 1) + """,
+points as (select * replace (tile_id || '/' || cloud as tile_id) from both_clouds)"""
+
 WORLD_POINTS = POINTS + """, world as (
   select cloud, pid, x + 10.0::double * (suppkey % 10) as x,
     y + 10.0::double * (suppkey // 10) as y, z from points)"""

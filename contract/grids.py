@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from contract.base import LOCAL_TILES, PIXELS, POINTS, query, r, rr
+from contract.base import CLOUD_POINTS, LOCAL_TILES, PIXELS, POINTS, query, r, rr
 from tileloom import bindings as b
 from tileloom.operators import canopy as c, grid as g
 
@@ -22,10 +22,10 @@ mads as (select tile_id, row, col, quantile_cont(o, 0.5) as mad from offs group
 kept as (select o.* from offs o join mads using (tile_id, row, col) where mad <= 0 or o <= {threshold} * mad)"""
 
 
-@query("cell_mean", f"""with {POINTS}, {CELLS1}
-select tile_id, row, col, {r('avg(z)', 'v')} from cells where cloud = 'uav' group by 1, 2, 3""")
+@query("cell_mean", f"""with {CLOUD_POINTS}, {CELLS1}
+select tile_id, row, col, {r('avg(z)', 'v')} from cells group by 1, 2, 3""")
 def cell_mean(spark, d):
-    return g.cell_aggregate(b.points(spark, d).where("cloud = 'uav'"), g.fixed_box(*BOX), 1.0, F.avg)
+    return g.cell_aggregate(b.cloud_points(spark, d), g.fixed_box(*BOX), 1.0, F.avg)
 
 
 @query("cell_max_without_outliers", f"""with {POINTS}, {CELLS25}, {_mad(1.5)}
@@ -43,28 +43,28 @@ def canopy_height(spark, d):
 
 
 _FILL = """occ as (select tile_id, cast(trunc(y / 0.5) as int) as row, cast(trunc(x / 0.5) as int) as col, min(z) as v
-  from points where cloud = 'dep' and x < 10 and y < 10 group by 1, 2, 3),
+  from points where x < 10 and y < 10 group by 1, 2, 3),
 full_grid as (select t.tile_id, rr.i as row, cc.i as col from (select distinct tile_id from points) t,
   (select unnest(range(20)) as i) rr, (select unnest(range(20)) as i) cc)"""
 
 
-@query("grid_fill_nearest", f"""with {POINTS}, {_FILL},
+@query("grid_fill_nearest", f"""with {CLOUD_POINTS}, {_FILL},
 d as (select f.tile_id, f.row, f.col, o.v, row_number() over (partition by f.tile_id, f.row, f.col
     order by (o.row - f.row) * (o.row - f.row) + (o.col - f.col) * (o.col - f.col), o.row, o.col) as rn
   from full_grid f join occ o on o.tile_id = f.tile_id)
 select tile_id, cast(row as int) as row, cast(col as int) as col, {r('v')} from d where rn = 1""")
 def grid_fill_nearest(spark, d):
-    p = b.points(spark, d)
-    low = g.min_surface(p.where("cloud = 'dep'"), g.fixed_box(*BOX), 0.5)
+    p = b.cloud_points(spark, d)
+    low = g.min_surface(p, g.fixed_box(*BOX), 0.5)
     return g.fill_nearest(low, p.select("tile_id").distinct(), 20, 20)
 
 
-@query("grid_fill_constant", f"""with {POINTS}, {_FILL}
+@query("grid_fill_constant", f"""with {CLOUD_POINTS}, {_FILL}
 select f.tile_id, cast(f.row as int) as row, cast(f.col as int) as col, {r('coalesce(v, -1)', 'v')}
 from full_grid f left join occ using (tile_id, row, col)""")
 def grid_fill_constant(spark, d):
-    p = b.points(spark, d)
-    low = g.min_surface(p.where("cloud = 'dep'"), g.fixed_box(*BOX), 0.5)
+    p = b.cloud_points(spark, d)
+    low = g.min_surface(p, g.fixed_box(*BOX), 0.5)
     return g.fill_constant(low, p.select("tile_id").distinct(), 20, 20, -1.0)
 
 
@@ -85,7 +85,7 @@ def min_surface(spark, d):
 def _pmf_sql():
     parts = [
         "g0 as (select tile_id, cast(trunc(y) as int) as row, cast(trunc(x) as int) as col, min(z) as v "
-        "from points where x < 10 and y < 10 and cloud = 'dep' group by 1, 2, 3)"
+        "from points where x < 10 and y < 10 group by 1, 2, 3)"
     ]
     for i, w in enumerate(range(3, 22, 2)):
         h, t = w // 2, repr(0.15 * w * 1.0)
@@ -101,18 +101,18 @@ def _pmf_sql():
     return ",\n".join(parts)
 
 
-@query("progressive_ground", f"with {POINTS}, {_pmf_sql()}\nselect tile_id, row, col, {r('v')} from g10")
+@query("progressive_ground", f"with {CLOUD_POINTS}, {_pmf_sql()}\nselect tile_id, row, col, {r('v')} from g10")
 def progressive_ground(spark, d):
-    low = g.min_surface(b.points(spark, d).where("cloud = 'dep'"), g.fixed_box(*BOX), 1.0)
+    low = g.min_surface(b.cloud_points(spark, d), g.fixed_box(*BOX), 1.0)
     return g.progressive_ground(low, 1.0)
 
 
 def _idw_sql(nodes, radius):
     step = "0.5 + i" if nodes == "centre" else f"i * {10.0 / 9.0!r}::double"
     near = f"where d < {radius}" if radius else ""
-    return f"""with {POINTS},
+    return f"""with {CLOUD_POINTS},
 src as (select tile_id, cast(trunc(x) as int) + 0.5::double as sx, cast(trunc(y) as int) + 0.5::double as sy, min(z) as v
-  from points where x < 10 and y < 10 and cloud = 'dep' group by 1, 2, 3),
+  from points where x < 10 and y < 10 group by 1, 2, 3),
 ax as (select i, {step} as p from (select unnest(range(10)) as i)),
 prs as (select tile_id, a.i as row, c.i as col, v, sqrt(pow(sx - c.p, 2) + pow(sy - a.p, 2)) as d from src, ax a, ax c),
 agg as (select tile_id, row, col, min(v) filter (where d = 0) as hit,
@@ -122,21 +122,21 @@ select tile_id, cast(row as int) as row, cast(col as int) as col, {r('coalesce(h
 
 @query("idw_surface", _idw_sql("linspace", None))
 def idw_surface(spark, d):
-    low = g.min_surface(b.points(spark, d).where("cloud = 'dep'"), g.fixed_box(*BOX), 1.0)
+    low = g.min_surface(b.cloud_points(spark, d), g.fixed_box(*BOX), 1.0)
     return g.idw_surface(low, BOX, 1.0, nodes="linspace")
 
 
 @query("idw_surface_radius", _idw_sql("centre", 2.2))
 def idw_surface_radius(spark, d):
-    low = g.min_surface(b.points(spark, d).where("cloud = 'dep'"), g.fixed_box(*BOX), 1.0)
+    low = g.min_surface(b.cloud_points(spark, d), g.fixed_box(*BOX), 1.0)
     return g.idw_surface(low, BOX, 1.0, radius=2.2)
 
 
 def _smooth_sql():
     kernel = ", ".join(f"({k - 4}, {w!r}::double)" for k, w in enumerate(g.gaussian_weights(1.0)))
     mirror = "least((({0}) % 8 + 8) % 8, 7 - (({0}) % 8 + 8) % 8)"
-    return f"""with {POINTS}, cells as (select *, least(cast(trunc(y / 2.5) as int), 3) as row,
-  least(cast(trunc(x / 2.5) as int), 3) as col from points where cloud = 'dep'), {_mad(5.0)},
+    return f"""with {CLOUD_POINTS}, cells as (select *, least(cast(trunc(y / 2.5) as int), 3) as row,
+  least(cast(trunc(x / 2.5) as int), 3) as col from points), {_mad(5.0)},
 g as (select tile_id, row, col, min(z) as v from kept group by 1, 2, 3),
 full_grid as (select t.tile_id, rr.i as row, cc.i as col from (select distinct tile_id from points) t,
   (select unnest(range(4)) as i) rr, (select unnest(range(4)) as i) cc),
@@ -159,7 +159,7 @@ select tile_id, cast(row as int) as row, cast(col as int) as col, {r('v')} from
 
 @query("smoothed_terrain", _smooth_sql())
 def smoothed_terrain(spark, d):
-    return g.smoothed_terrain(b.points(spark, d).where("cloud = 'dep'"), BOX)
+    return g.smoothed_terrain(b.cloud_points(spark, d), BOX)
 
 
 _RASTER = """ext as (select tile_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from points group by 1),

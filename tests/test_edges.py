@@ -241,3 +241,16 @@ def test_hull(spark):
     p = pts(spark, [(x, y, 0) for x, y in inner + [[0, 0], [10, 0], [10, 10], [0, 10]]])
     got = grid.convex_hull(p, rows_per_strip=20).orderBy("ix").collect()
     assert [(r["x"], r["y"]) for r in got] == [(0, 0), (10, 0), (10, 10), (0, 10)]
+
+
+def test_lowest_parabolas_equal_all_candidates():
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(3000):
+        n, rows = rnd.randint(1, 14), rnd.randint(1, 12)
+        row = rnd.randrange(rows)
+        source = [float("nan") if rnd.random() < 0.4 else float(rnd.randrange(rows)) for _ in range(n)]
+        known = [(s, c) for c, s in enumerate(source) if s == s]
+        want = [min(((s - row) ** 2 + (x - c) ** 2, s, c) for s, c in known)[2] if known else None for x in range(n)]
+        assert grid.lowest_parabolas(source, row, n) == want

@@ -32,6 +32,11 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cloud_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The same points with each tile's clouds as tiles of their own, for operators that take one cloud."""
+    return points(spark, folder).withColumn("tile_id", F.concat_ws("/", "tile_id", "cloud"))
+
+
 def world_points(spark: SparkSession, folder: str) -> DataFrame:
     """The same points placed side by side on a common plane, ten tiles per line."""
     return points(spark, folder).selectExpr(

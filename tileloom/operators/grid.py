@@ -86,36 +86,80 @@ def fill_constant(cells: DataFrame, tiles: DataFrame, nrows: int, ncols: int, v:
 def fill_nearest(cells: DataFrame, tiles: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """G3, nearest form: the value of the nearest occupied cell, ties by (row, col).
 
-    Two linear passes instead of pairs of cells. First every cell learns the nearest
-    occupied row below and above in its column (a running window). The nearest
-    occupied cell overall is then among those of the row's columns, so the second
-    step joins a cell with at most 2 * ncols candidates of its own row.
+    A distance transform, one axis after the other. First every cell learns the nearest occupied
+    row in its column (two running windows). The squared distance to that cell is a parabola over
+    the columns of the row; the lowest parabola at each column belongs to the nearest occupied
+    cell. The lower envelope of a row's parabolas is built in one pass, so a row costs as many
+    steps as it has cells.
     """
     grid = full_grid(tiles, nrows, ncols).join(cells, CELL, "left")
     column = Window.partitionBy("tile_id", "col").orderBy("row")
-    seen = F.when(F.col("v").isNotNull(), F.struct("row", "v"))
+    seen = F.when(F.col("v").isNotNull(), F.struct("row", F.col("v").cast("double").alias("v")))
     grid = grid.withColumn(
         "_below", F.last(seen, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn(
         "_above", F.first(seen, True).over(column.rowsBetween(0, Window.unboundedFollowing))
     )
-    sources = (
-        grid.select("tile_id", "row", F.col("col").alias("_c"), F.explode(F.array("_below", "_above")).alias("_s"))
-        .where(F.col("_s").isNotNull())
-        .select("tile_id", "row", "_c", F.col("_s.row").alias("_r"), F.col("_s.v").alias("_v"))
-    )
-    line = sources.groupBy("tile_id", "row").agg(
-        F.collect_set(F.struct("_r", "_c", "_v")).alias("_near")
+    nearer = F.col("_above").isNotNull() & (
+        F.col("_below").isNull() | (F.col("_above.row") - F.col("row") < F.col("row") - F.col("_below.row"))
     )
+    near = F.when(nearer, F.col("_above")).otherwise(F.col("_below"))
+    lines = grid.withColumn("_s", near).select(*CELL, F.col("_s.row").alias("source"), F.col("_s.v").alias("v"))
+    lines = lines.repartition("tile_id", "row").sortWithinPartitions("tile_id", "row", "col")
+    schema = lines.select(*CELL, "v").schema
+    return lines.mapInPandas(_nearest_in_lines(ncols), schema)
+
+
+def _nearest_in_lines(ncols: int):
+    """Rows of whole grid lines in column order: the value of the source with the lowest parabola."""
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            whole = len(held) // ncols * ncols
+            if whole:
+                yield filled(held.iloc[:whole])
+                held = held.iloc[whole:]
+
+    def filled(frame):
+        source, v, row = (frame[n].to_numpy().reshape(-1, ncols) for n in ("source", "v", "row"))
+        out = [
+            [values[k] if k is not None else None for k in lowest_parabolas(at, int(own[0]), ncols)]
+            for at, values, own in zip(source, v, row)
+        ]
+        return frame[CELL].assign(v=[x for line in out for x in line])
 
-    def ranked(s):
-        dr, dc = s["_r"] - F.col("row"), s["_c"] - F.col("col")
-        return F.struct((dr * dr + dc * dc).alias("d"), s["_r"].alias("r"), s["_c"].alias("c"), s["_v"].alias("v"))
+    return run
 
-    best = F.array_min(F.transform("_near", ranked))["v"]
-    empty = grid.where(F.col("v").isNull()).select(*CELL).join(line, ["tile_id", "row"], "left")
-    filled = empty.select(*CELL, best.alias("v"))
-    return grid.where(F.col("v").isNotNull()).select(*CELL, "v").unionByName(filled)
+
+def lowest_parabolas(source, row: int, ncols: int) -> list[int | None]:
+    """For each column of a grid line the column whose source is nearest, ties by the source's (row, col).
+
+    ``source`` has the row of the nearest occupied cell of each column, or NaN. Distances are scaled,
+    so that a tie rank fits below them; then no two parabolas meet at a whole column.
+    """
+    known = [(c, int(s)) for c, s in enumerate(source) if s == s]
+    if not known:
+        return [None] * ncols
+    scale = (max(s for _, s in known) + 1) * ncols
+    height = {c: scale * (s - row) ** 2 + s * ncols + c for c, s in known}
+    stack: list[tuple[int, int]] = []  # (column of the parabola, first whole column where it is lowest)
+    for c, _ in known:
+        first = 0
+        while stack:
+            p, since = stack[-1]
+            # c is below p from the first whole x with 2 * scale * x * (c - p) > the difference of heights at 0.
+            first = (height[c] - height[p] + scale * (c * c - p * p)) // (2 * scale * (c - p)) + 1
+            if first > since:
+                break
+            stack.pop()
+        stack.append((c, max(first, 0) if stack else 0))
+    out: list[int | None] = []
+    for k, (c, since) in enumerate(stack):
+        until = stack[k + 1][1] if k + 1 < len(stack) else ncols
+        out += [c] * (min(until, ncols) - len(out))
+    return out
 
 
 def canopy_height(points, box, res: float = 1.0, surface_threshold: float = 3.0) -> DataFrame:
