@@ -3,8 +3,11 @@
 A page is a sequence of words, which score above zero, and tags, which score below; the run of
 tokens with the largest sum, found in one scan, is the article. The weights are log odds from
 labelled pages: those that mark their content themselves by <article> or <main>. They are summed up
-over all such pages into one small table per tag. Elements that never hold content (fixed lists
-below) are passed over by the scan, inside the region too.
+over all such pages into one small table per tag. Elements whose tag or class says that they hold no
+content (fixed lists below) are passed over by the scan, inside the region too, unless they hold most of
+the page's words: then the form or class describes the page or its layout, and the scan decides. A class counts
+if it consists of such words and of words for places and boxes alone: "share-bar" does, while
+"has-sidebar", "comments-open" or "social-science" do not.
 """
 
 from __future__ import annotations
@@ -20,19 +23,23 @@ from pyspark.sql import functions as F
 
 # HTML's elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav aside form footer menu dialog button select audio video canvas".split()) | RAW
+ALWAYS = frozenset("head nav aside footer menu dialog button select audio video canvas".split()) | RAW
 MARKS = frozenset({"article", "main"})
 CLOSES_P = BLOCKS - {"body", "html", "head", "legend", "optgroup", "option", "summary"}
-ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promos?|promotions?|sidebars?|comments?|replies|disqus\w*|cookies?|consent|gdpr|notices?|alerts?|newsletters?"
-    r"|subscribe|subscription|share|sharing|social|related|recommended|menus?|nav|navbar|navigation|breadcrumbs?|pagination|footer|popups?|modals?|overlay|widgets?|login"
-    r"|signup|search|toolbar|skip|complementary|contentinfo|paywall)(?:$|[\s_-])",
-    re.I,
+ASIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos promotion promotions sidebar sidebars "
+    "comment comments replies disqus cookie cookies consent gdpr notice notices alert alerts newsletter newsletters subscribe subscription share sharing social "
+    "related recommended menu menus nav navbar navigation breadcrumb breadcrumbs pagination footer popup popups modal modals overlay widget widgets login signup "
+    "search toolbar skip complementary contentinfo paywall".split()
+)
+PLACE_WORDS = frozenset(
+    "area bar block box bottom button buttons container content form global group head header icon icons inner item items left link links list main module outer "
+    "page panel post posts primary region right row secondary section site slot small thread top unit wrap wrapper".split()
 )
 ROLE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?![\w-])(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -46,21 +53,23 @@ KNOWN = BLOCKS | frozenset("a abbr b br cite code del em font i img ins kbd mark
 WORD, TAG = (0.05, 2.0), (-8.0, -0.1)
 
 
-def tokens(page: str):
-    """(kind, name, text, block, marked) in page order; kind is 'word' (a stretch of text) or 'tag'.
+def parsed(page: str):
+    """(kind, name, text, block, marked, asides) in page order; kind is 'word' (a stretch of text) or 'tag'.
 
     ``name`` is the tag, or the innermost block that the text stands in; ``marked`` says whether it
-    is inside <article> or <main>. Elements without content yield nothing.
+    is inside <article> or <main>; ``asides`` are the numbers of the open elements that may hold no
+    content, 0 for those that surely don't. Raw elements yield nothing.
     """
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are passed over
-    skipped = marks = block = 0
+    stack: list[tuple[str, int | None]] = []  # open elements and their number among the asides
+    asides: tuple[int, ...] = ()
+    marks = block = count = 0
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
-        if text and not skipped:
+        if text:
             name = next((n for n, _ in reversed(stack) if n in BLOCKS), "body")
-            yield "word", name, html.unescape(text), block, marks > 0
+            yield "word", name, html.unescape(text), block, marks > 0, asides
         if not m:
             break
         at = m.end()
@@ -73,36 +82,53 @@ def tokens(page: str):
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None and not (name not in BLOCKS and any(n in BLOCKS for n, _ in stack[depth + 1 :])):
-                for n, over in stack[depth:]:
-                    skipped -= over
-                    marks -= n in MARKS
+                marks -= sum(n in MARKS for n, _ in stack[depth:])
                 del stack[depth:]
-            if not skipped:
-                yield "tag", name, "", block, marks > 0
+                asides = tuple(k for _, k in stack if k is not None)
+            yield "tag", name, "", block, marks > 0, asides
             continue
         if name in RAW and not attrs.rstrip().endswith("/"):
             close = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
             at = close.end() if close else end if name in ("script", "style") else at
             continue
         if name in MARKS:
-            # Content begins: what was left open and passed over ends here.
-            stack, skipped = [(n, False) for n, _ in stack], 0
+            # Content begins: what was left open and may hold none ends here.
+            stack, asides = [(n, None) for n, _ in stack], ()
         elif name in CLOSES_P and stack and any(n == "p" for n, _ in stack):
             depth = max(i for i, (n, _) in enumerate(stack) if n == "p")
             if not any(n in BLOCKS for n, _ in stack[depth + 1 :]):
-                for _, over in stack[depth:]:
-                    skipped -= over
                 del stack[depth:]
+                asides = tuple(k for _, k in stack if k is not None)
         if name in VOID:
-            if not skipped:
-                yield ("word", name, " ", block, marks > 0) if name == "br" else ("tag", name, "", block, marks > 0)
+            yield ("word", name, " ", block, marks > 0, asides) if name == "br" else ("tag", name, "", block, marks > 0, asides)
             continue
-        over = name in NEVER or (name == "header" and not marks) or (name not in ("html", "body") and name not in MARKS and aside(attrs))
-        stack.append((name, over))
-        skipped += over
+        number = None
+        if name in ALWAYS or (name == "header" and not marks):
+            number = 0
+        elif name == "form" or (name not in ("html", "body") and name not in MARKS and aside(attrs)):
+            number = count = count + 1
+        if number is not None:
+            asides = (*asides, number)
+        stack.append((name, number))
         marks += name in MARKS
-        if not skipped:
-            yield "tag", name, "", block, marks > 0 and name not in MARKS
+        yield "tag", name, "", block, marks > 0 and name not in MARKS, asides
+
+
+def tokens(page: str) -> list[tuple[str, str, str, int, bool]]:
+    """(kind, name, text, block, marked) of what may be content: without asides, but for those that hold
+    half of the page's words or more."""
+    found = list(parsed(page))
+    if not any(x[5] for x in found):
+        return [x[:5] for x in found]
+    held, total = Counter(), 0
+    for kind, _, text, _, _, asides in found:
+        if kind == "word":
+            n = len(text.split())
+            total += n
+            for k in asides:
+                held[k] += n
+    whole = {k for k, n in held.items() if k and 2 * n >= total}
+    return [x[:5] for x in found if all(k in whole for k in x[5])]
 
 
 def aside(attrs: str) -> bool:
@@ -110,7 +136,12 @@ def aside(attrs: str) -> bool:
     if not attrs.strip():
         return False
     named = " ".join(next(filter(None, x), "") for x in ROLE.findall(attrs))
-    return bool(ASIDE_WORDS.search(named)) or bool(HIDDEN.search(attrs))
+    return any(map(names_aside, named.lower().split())) or bool(HIDDEN.search(attrs))
+
+
+def names_aside(name: str) -> bool:
+    parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=\d)", name) if p and not p.isdigit()]
+    return any(p in ASIDE_WORDS for p in parts) and all(p in ASIDE_WORDS or p in PLACE_WORDS for p in parts)
 
 
 def features(page: str) -> tuple[Counter, bool]:
@@ -155,7 +186,7 @@ def fit(pages: DataFrame) -> dict[tuple[str, str], float]:
 
 def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
     """The text of the best-scoring region, blocks joined by two line feeds."""
-    found = list(tokens(page))
+    found = tokens(page)
     best = run = 0.0
     first = last = start = 0
     for i, (kind, name, text, _, _) in enumerate(found):
