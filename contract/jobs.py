@@ -98,7 +98,43 @@ def adaptive_downsample(spark, d):
     return vx.adaptive_downsample(_uav(spark, d), 300, 20.0, 0.5)
 
 
-@query("downsample_to_caps")
+def _cap_sql(tag: str, most: int, start: str, passes: int = 24) -> str:
+    """V3's search for one cap, from the sizes ``start`` (tile_id, lo); ``<tag>k`` has the points kept."""
+    parts = [f"{tag}0 as (select tile_id, lo, lo * 10 as hi, null::double as best, null::bigint as bn from {start} join nn using (tile_id) where n > {most})"]
+    for i in range(10):
+        parts.append(
+            f"{tag}n{i} as (select tile_id, count(distinct (floor((x - x0) / ((lo + hi) / 2 / 100)), floor((y - y0) / ((lo + hi) / 2 / 100)), "
+            f"floor((z - z0) / ((lo + hi) / 2 / 100)))) as n from uav join o using (tile_id) join {tag}{i} using (tile_id) where hi - lo > 0.5 group by 1)"
+        )
+        parts.append(
+            f"{tag}{i + 1} as (select tile_id, case when n > {most} then (lo + hi) / 2 else lo end as lo, case when n <= {most} then (lo + hi) / 2 else hi end as hi, "
+            f"case when n <= {most} and (bn is null or n > bn) then (lo + hi) / 2 else best end as best, "
+            f"case when n <= {most} and (bn is null or n > bn) then n else bn end as bn from {tag}{i} left join {tag}n{i} using (tile_id))"
+        )
+    parts.append(f"{tag}g0 as (select tile_id, lo as cur, best from {tag}10)")
+    for i in range(passes):
+        parts.append(
+            f"{tag}m{i} as (select tile_id, count(distinct (floor((x - x0) / (cur / 100)), floor((y - y0) / (cur / 100)), "
+            f"floor((z - z0) / (cur / 100)))) as n from uav join o using (tile_id) join {tag}g{i} using (tile_id) where best is null group by 1)"
+        )
+        parts.append(
+            f"{tag}g{i + 1} as (select tile_id, case when n > {most} then cur + 2.0 * (n::double / {most}.0::double) else cur end as cur, "
+            f"case when n <= {most} then cur else best end as best from {tag}g{i} left join {tag}m{i} using (tile_id))"
+        )
+    thinned = _thinned_sql("size", 1.0, f"{tag}b").replace("vx as", f"{tag}v as", 1).replace("ct as", f"{tag}c as", 1).replace("bs as", f"{tag}t as", 1)
+    thinned = thinned.replace("from vx group", f"from {tag}v group").replace("from vx join ct", f"from {tag}v join {tag}c")
+    parts.append(f"{tag}b as (select u.*, best / 100 as size from uav u join {tag}g{passes} using (tile_id))")
+    parts.append(thinned)
+    parts.append(f"{tag}s as (select tile_id, coalesce(best, lo) as lo from {start} left join {tag}g{passes} using (tile_id))")
+    parts.append(f"{tag}k as (select tile_id, pid from {tag}t union all select tile_id, pid from uav join nn using (tile_id) where n <= {most})")
+    return ",\n".join(parts)
+
+
+@query("downsample_to_caps", f"""with {POINTS}, {UAV}, o as (select tile_id, min(x) as x0, min(y) as y0, min(z) as z0 from uav group by 1),
+nn as (select tile_id, count(*) as n from uav group by 1), st as (select tile_id, 20.0::double as lo from nn),
+{_cap_sql('p', 400, 'st')},
+{_cap_sql('q', 200, 'ps')}
+select tile_id, (select count(*) from pk k where k.tile_id = nn.tile_id) as n_400, (select count(*) from qk k where k.tile_id = nn.tile_id) as n_200 from nn""")
 def downsample_to_caps(spark, d):
     flags = vx.downsample_to_caps(_uav(spark, d), [200, 400], 20.0)
     return flags.groupBy("tile_id").agg(
@@ -197,7 +233,36 @@ def _local_polys(spark, d):
     return b.polygons(spark, d)
 
 
-@query("evaluation_frame")
+_MODELS = ("dep", "pred_baseline", "pred_combined")
+_EVALUATED = f"""shifted as (select tile_id, 'dep' as m, pid, x, y, z from points where cloud = 'dep'
+  union all select tile_id, 'pred_baseline', pid, x + (tax - 0.04) * 1.0::double, y + (tax - 0.04) * 1.0::double, z + (tax - 0.04) * 1.0::double from points where cloud = 'uav'
+  union all select tile_id, 'pred_combined', pid, x + (tax - 0.04) * 0.5::double, y + (tax - 0.04) * 0.5::double, z + (tax - 0.04) * 0.5::double from points where cloud = 'uav'),
+sides as (select distinct tile_id, m, 'ab' as side, pid, x - 5 as x, y - 5 as y, z from shifted
+  union all select distinct tile_id, m, 'ba', pid, x - 5, y - 5, z from points, (select unnest({list(_MODELS)}) as m) where cloud = 'uav'),
+nn as (select tile_id, m, side, x, y, z, b.d2 as d2, b.n_pid as n_pid, b.n_x as n_x, b.n_y as n_y, b.n_z as n_z from (
+  select p.tile_id, p.m, p.side, p.pid, p.x, p.y, p.z, min({{'d2': (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z),
+    'n_x': q.x, 'n_y': q.y, 'n_z': q.z, 'n_pid': q.pid}}) as b from sides p join sides q on p.tile_id = q.tile_id and p.m = q.m and p.side <> q.side group by all)),
+cnt as (select tile_id, m, count(*) filter (where side = 'ab') as n_a, count(*) filter (where side = 'ba') as n_b from nn group by all),
+cds as (select tile_id, m, sum(v) as cd from (select tile_id, m, side, avg(d2) as v from nn group by all) group by all),
+load as (select *, count(*) over (partition by tile_id, m, side, n_pid, n_x, n_y, n_z) as q from nn),
+dcs as (select tile_id, m, sum(v) * 0.5 as dcd from (select tile_id, m, side, avg(1 - exp(-sqrt(greatest(d2, 1e-12))) / (greatest((case when side = 'ab' then n_a else n_b end)::double
+   / (case when side = 'ab' then n_b else n_a end) / (q + 1e-12), 1) + 1e-12)) as v from load join cnt using (tile_id, m) group by all) group by all),
+ics as (select tile_id, m, sum(cd) + sum(3.0 / n_b * lse) as infocd from (select tile_id, m, side, sum(abs(x - n_x) + abs(y - n_y) + abs(z - n_z)) / (0.3 * count(*)) as cd,
+   ln(sum(exp(-(abs(x - n_x) + abs(y - n_y) + abs(z - n_z)) / 0.3))) as lse from nn group by all) join cnt using (tile_id, m) group by all),
+long as (select tile_id, m, cd, dcd, infocd, n_a::double as n from cds join dcs using (tile_id, m) join ics using (tile_id, m) join cnt using (tile_id, m)),
+pc as (select tile_id, cloud, floor((x - 5 + 5) / 2) as c, floor((y - 5 + 5) / 2) as w, quantile_cont(z, 0.95) as q
+  from points where z <= 50 and floor((x - 5 + 5) / 2) between 0 and 4 and floor((y - 5 + 5) / 2) between 0 and 4 group by 1, 2, 3, 4),
+hc as (select tile_id, avg(q) filter (where cloud = 'dep') as a, avg(q) filter (where cloud = 'uav') as z from pc group by 1)"""
+
+
+def _model_columns() -> str:
+    names = (("cd", "chamfer_distance"), ("dcd", "dcd"), ("infocd", "infocd"), ("n", "point_count"))
+    return ",\n  ".join(r(f"max({c}) filter (where m = '{m}')", f"{m}_{n}") for m in _MODELS for c, n in names)
+
+
+@query("evaluation_frame", f"""with {POINTS}, {LOCAL_TILES}, {_EVALUATED}, wide as (select tile_id, {_model_columns()}, 'dep' as reference_model from long group by 1)
+select wide.*, {r('a', 'input_mean_pct95_z')}, {r('hc.z', 'gt_mean_pct95_z')}, {r('hc.z - a', 'net_canopy_height_change')}, {rr('xmin', 'ymin', 'xmax', 'ymax')}
+from wide left join hc using (tile_id) left join tiles using (tile_id)""")
 def evaluation_frame(spark, d):
     pts = b.points(spark, d).select("tile_id", "cloud", "pid", "x", "y", "z", "tax")
     uav = pts.where("cloud = 'uav'")

@@ -23,7 +23,8 @@ def model_distances(points: DataFrame, truth: str, models: list[str]) -> DataFra
     pred = base.where(F.col("cloud").isin(models)).withColumnRenamed("cloud", "model")
     names = F.array(*[F.lit(m) for m in models])
     gt = base.where(F.col("cloud") == truth).drop("cloud").withColumn("model", F.explode(names))
-    side = lambda df, s: df.select(F.concat_ws("|", "tile_id", "model").alias("tile_id"), F.lit(s).alias("side"), "pid", *AXES)
+    # Tile and model are one key as JSON, which tells them apart whatever signs an id has.
+    side = lambda df, s: df.select(F.to_json(F.struct("tile_id", "model")).alias("tile_id"), F.lit(s).alias("side"), "pid", *AXES)
     nn = cut_lineage(nearest(
         side(pred, "ab").unionByName(side(gt, "ba")), side(gt, "ab").unionByName(side(pred, "ba")),
         group=["tile_id", "side"],
@@ -41,9 +42,9 @@ def model_distances(points: DataFrame, truth: str, models: list[str]) -> DataFra
         F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("v"))
         for m, c in (("chamfer_distance", "chamfer_distance"), ("dcd", "dcd"), ("infocd", "infocd"), ("point_count", "n_a"))
     ])
-    parts = F.split("tile_id", r"\|")
-    return found.select(parts[0].alias("tile_id"), parts[1].alias("model"), F.explode(values).alias("_m")).select(
-        "tile_id", "model", "_m.metric", "_m.v"
+    key = F.from_json("tile_id", "tile_id string, model string")
+    return found.select(key.alias("_k"), F.explode(values).alias("_m")).select(
+        "_k.tile_id", "_k.model", "_m.metric", "_m.v"
     )
 
 
