@@ -61,7 +61,7 @@ def test_groups_around_the_similarity_lose_no_pair(spark):
     rows = [t for g in range(8) for t in group(rnd, 14, [1, 2, 3, 4, 6])]
     rows += group(rnd, 60, [12, 15]) + [" ".join(f"s{k}" for k in range(90)) + " " + " ".join(f"u{j}x{k}" for k in range(60)) for j in range(40)]
     docs = frame(spark, list(enumerate(rows))).repartition(3)
-    edges = {(r.a, r.b) for r in near_copies.links(docs).collect()}
+    edges = {(r.a, r.b) for r in near_copies.linked(docs).edges.collect()}
     root = list(range(len(rows)))
 
     def find(i):
@@ -91,7 +91,7 @@ def pairs_tried(spark, copies):
 
     near_copies.Search.compare = count
     try:
-        near_copies.links(frame(spark, list(enumerate(rows))))
+        near_copies.linked(frame(spark, list(enumerate(rows))))
     finally:
         near_copies.Search.compare = compare
     return seen[-1]
