@@ -282,7 +282,7 @@ def test_probabilities_sum_to_one(spark):
     model = quality.train(texts)
     base = int(quality.grams(b"abca")[-1]) >> quality.BITS << quality.BITS
     asked = spark.range(1 << quality.BITS).selectExpr(f"cast({base} as bigint) + id as gram")
-    assert quality.probabilities(asked, model).selectExpr("sum(p[0])").first()[0] == pytest.approx(1.0)
+    assert quality.probabilities(asked, model).selectExpr("sum(p0)").first()[0] == pytest.approx(1.0)
 
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a>Menu</a></nav><header>Site</header>
