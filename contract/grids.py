@@ -293,15 +293,22 @@ def valid_footprint(spark, d):
     return g.valid_footprint(b.pixels(spark, d), 0.5, 0.5)
 
 
-@query("covered_windows", f"""with {POINTS}, {CELLS1},
-a as (select tile_id, row, col, max(z) as v from cells where cloud = 'dep' group by 1, 2, 3)
+@query("covered_windows", f"""with {CLOUD_POINTS}, {CELLS1},
+a as (select tile_id, row, col, max(z) as v from cells group by 1, 2, 3)
 select tile_id, row // 2 as wr, col // 2 as wc from a where v <> 0 group by 1, 2, 3 having count(*) = 4""")
 def covered_windows(spark, d):
-    dep = b.points(spark, d).where("cloud = 'dep'")
-    cells = g.cell_aggregate(dep, g.fixed_box(*BOX), 1.0, F.max)
+    cells = g.cell_aggregate(b.cloud_points(spark, d), g.fixed_box(*BOX), 1.0, F.max)
     return g.covered_windows(cells, 2).select("tile_id", F.col("wr").cast("int"), F.col("wc").cast("int"))
 
 
-@query("convex_hull")
+# The hull by wrapping: from each vertex the next one is that with the smallest turn, the farthest of equal ones.
+@query("convex_hull", f"""with recursive {CLOUD_POINTS}, pts as (select distinct tile_id, x, y from points),
+first as (select tile_id, x, y from pts qualify row_number() over (partition by tile_id order by x, y) = 1),
+hull as (select tile_id, cast(0 as int) as ix, x, y, -pi() / 2 as dir from first
+  union all select tile_id, ix, x, y, dir from (
+    select h.tile_id, cast(h.ix + 1 as int) as ix, p.x, p.y, atan2(p.y - h.y, p.x - h.x) as dir, row_number() over (partition by h.tile_id
+      order by round(fmod(atan2(p.y - h.y, p.x - h.x) - h.dir + 4 * pi(), 2 * pi()), 13), pow(p.x - h.x, 2) + pow(p.y - h.y, 2) desc) as rn
+    from hull h join pts p on p.tile_id = h.tile_id and (p.x <> h.x or p.y <> h.y)) where rn = 1 and (tile_id, x, y) not in (select (tile_id, x, y) from first))
+select tile_id, ix, {rr('x', 'y')} from hull""")
 def convex_hull(spark, d):
-    return g.convex_hull(b.points(spark, d).where("cloud = 'dep'"))
+    return g.convex_hull(b.cloud_points(spark, d))
