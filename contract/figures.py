@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from contract.base import EVAL, LOCAL_TILES, PIXELS, POINTS, draw, finite, query, r, rr
+from contract.base import CLOUD_POINTS, EVAL, LOCAL_TILES, PIXELS, POINTS, draw, finite, query, r, rr
 from tileloom import bindings as b
 from tileloom.functions import values as v
 from tileloom.operators import imagery as im, normalize as nz, report as rp, stats as st
@@ -262,8 +262,8 @@ def _regrid_sql(method: str) -> str:
     else:
         pick = "sr in (cast(floor(fy) as int), cast(floor(fy) as int) + 1) and sc in (cast(floor(fx) as int), cast(floor(fx) as int) + 1)"
         w = "greatest(1 - abs(fy - sr), 0) * greatest(1 - abs(fx - sc), 0)"
-    return f"""with {POINTS}, src as (select tile_id, cast(trunc(y / 2) as int) as sr, cast(trunc(x / 2) as int) as sc, avg(z) as v
-  from points where x < 10 and y < 10 and cloud = 'uav' group by 1, 2, 3),
+    return f"""with {CLOUD_POINTS}, src as (select tile_id, cast(trunc(y / 2) as int) as sr, cast(trunc(x / 2) as int) as sc, avg(z) as v
+  from points where x < 10 and y < 10 group by 1, 2, 3),
 ax as (select i from (select unnest(range(7)) as i)),
 tg as (select t.tile_id, a.i as row, c.i as col, (0.3 + (c.i + 0.5) * 1.3) / 2 - 0.5 as fx, (10 - (9.1 - (a.i + 0.5) * 1.3)) / 2 - 0.5 as fy
   from (select distinct tile_id from src) t, ax a, ax c),
@@ -273,7 +273,7 @@ from j group by 1, 2, 3"""
 
 
 def _regrid(spark, d, method):
-    src = b.points(spark, d).where("x < 10 and y < 10 and cloud = 'uav'").groupBy(
+    src = b.cloud_points(spark, d).where("x < 10 and y < 10").groupBy(
         "tile_id", (F.col("y") / 2).cast("int").alias("row"), (F.col("x") / 2).cast("int").alias("col")
     ).agg(F.avg("z").alias("v"))
     return im.regrid(src, ["tile_id"], (0.0, 10.0, 2.0), (0.3, 0.4, 9.1, 9.1), 1.3, method, -9.0)
@@ -328,33 +328,33 @@ def radar_scaling(spark, d):
 
 
 @query("attribute_scaling", f"""with {POINTS}, s as (select avg(intensity) as m, stddev_pop(intensity) as s from points)
-select pid, round(cast((intensity - m) / s as double), 4) + 0.0 as norm from points, s where cloud = 'dep'""")
+select pid, round(cast((intensity - m) / s as double), 4) + 0.0 as norm from points, s""")
 def attribute_scaling(spark, d):
     p = b.points(spark, d)
     out = nz.standardise_attributes(p, ["intensity"], nz.attribute_statistics(p, ["intensity"]))
-    return out.where("cloud = 'dep'").select("pid", F.round(F.col("intensity_norm").cast("double"), 4).alias("norm"))
+    return out.select("pid", F.round(F.col("intensity_norm").cast("double"), 4).alias("norm"))
 
 
 @query("box_normalisation", f"""with {POINTS}, m as (select tile_id, min(z) as z0 from points group by 1)
-select tile_id, pid, {r('(x - 5) / 1.0', 'x_norm')}, {r('y - 5', 'y_norm')}, {r('z - z0', 'z_norm')} from points join m using (tile_id) where cloud = 'dep'""")
+select tile_id, pid, {r('(x - 5) / 1.0', 'x_norm')}, {r('y - 5', 'y_norm')}, {r('z - z0', 'z_norm')} from points join m using (tile_id)""")
 def box_normalisation(spark, d):
     out = nz.normalise_to_box(b.points(spark, d), b.local_tiles(spark, d))
-    return out.where("cloud = 'dep'").select("tile_id", "pid", "x_norm", "y_norm", "z_norm")
+    return out.select("tile_id", "pid", "x_norm", "y_norm", "z_norm")
 
 
 @query("radius_normalisation", f"""with {POINTS}, m as (select tile_id, avg(x) as cx, avg(y) as cy, avg(z) as cz from points group by 1),
 s as (select tile_id, max(sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2))) as s from points join m using (tile_id) group by 1)
-select tile_id, pid, {r('(x - cx) / s', 'x_norm')}, {r('(z - cz) / s', 'z_norm')} from points join m using (tile_id) join s using (tile_id) where cloud = 'dep'""")
+select tile_id, pid, {r('(x - cx) / s', 'x_norm')}, {r('(z - cz) / s', 'z_norm')} from points join m using (tile_id) join s using (tile_id)""")
 def radius_normalisation(spark, d):
     out = nz.normalise_to_radius(b.points(spark, d))
-    return out.where("cloud = 'dep'").select("tile_id", "pid", "x_norm", "z_norm")
+    return out.select("tile_id", "pid", "x_norm", "z_norm")
 
 
 @query("extent_normalisation", f"""with {POINTS}, m as (select tile_id, avg(z) as cz, greatest(10, max(z) - min(z)) as s from points group by 1)
-select tile_id, pid, {r('(y - 5) / s', 'y_norm')}, {r('(z - cz) / s', 'z_norm')} from points join m using (tile_id) where cloud = 'dep'""")
+select tile_id, pid, {r('(y - 5) / s', 'y_norm')}, {r('(z - cz) / s', 'z_norm')} from points join m using (tile_id)""")
 def extent_normalisation(spark, d):
     out = nz.normalise_to_extent(b.points(spark, d), b.local_tiles(spark, d))
-    return out.where("cloud = 'dep'").select("tile_id", "pid", "y_norm", "z_norm")
+    return out.select("tile_id", "pid", "y_norm", "z_norm")
 
 
 _BANDS = "bt(band, cal, bw, irr) as (values ('click', 0.0091, 0.05, 1974.241), ('view', 0.0072, 0.063, 1856.41), ('purchase', 0.0113, 0.057, 1559.455), ('error', 0.0085, 0.1, 861.286), ('signup', 0.0101, 0.04, 1069.73))"

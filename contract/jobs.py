@@ -98,6 +98,26 @@ def adaptive_downsample(spark, d):
     return vx.adaptive_downsample(_uav(spark, d), 300, 20.0, 0.5)
 
 
+@query("downsample_with_masks", f"""with {POINTS}, {UAV}, o as (select tile_id, min(x) as x0, min(y) as y0, min(z) as z0 from uav group by 1),
+{_bisect_sql(300, 20.0, 10, 0.5)},
+{_growth_sql(300, 0.5, 's10', 24)}, nn as (select tile_id, count(*) as n from uav group by 1),
+big as (select u.*, best / 100 as size from uav u join nn using (tile_id) join g24 using (tile_id) where n > 300),
+{_thinned_sql('size', 0.5, 'big')},
+every as (select * from bs union all select uav.* from uav join nn using (tile_id) where n <= 300)
+select tile_id, pid, {rr('x', 'y', 'z')} from every where not (substr(tile_id, 6)::int % 3 = 1 and pid % 2 = 1)""")
+def downsample_with_masks(spark, d):
+    # Tiles of three kinds: with a valid mask (of which every other point was struck out by hand), with a
+    # mask of an earlier cloud, and with masks of another cap only.
+    uav = _uav(spark, d)
+    kind = F.substring("tile_id", 6, 9).cast("int") % 3
+    none = spark.createDataFrame([], sp.MASKS)
+    valid = vx.downsample_with_masks(uav.where(kind == 1), none, 300, 20.0, 0.5)[1].where("pid % 2 = 0")
+    stale = vx.downsample_with_masks(uav.where((kind == 0) & (F.col("z") < 12)), none, 300, 20.0, 0.5)[1]
+    other = vx.downsample_with_masks(uav.where(kind == 2), none, 200, 20.0, 0.5)[1]
+    stored = valid.unionByName(stale).unionByName(other)
+    return vx.downsample_with_masks(uav, stored, 300, 20.0, 0.5)[0]
+
+
 def _cap_sql(tag: str, most: int, start: str, passes: int = 24) -> str:
     """V3's search for one cap, from the sizes ``start`` (tile_id, lo); ``<tag>k`` has the points kept."""
     parts = [f"{tag}0 as (select tile_id, lo, lo * 10 as hi, null::double as best, null::bigint as bn from {start} join nn using (tile_id) where n > {most})"]

@@ -523,10 +523,10 @@ def boxes_in_degrees(spark, d):
 
 
 @query("rescaled_values", f"""with {POINTS}
-select pid, {r('least(greatest(0.1 + (z - 2) * (0.9 / 13.0), 0.1), 1.0)', 'scaled')}, 0.1::double as flat from points where cloud = 'dep'""")
+select pid, {r('least(greatest(0.1 + (z - 2) * (0.9 / 13.0), 0.1), 1.0)', 'scaled')}, 0.1::double as flat from points""")
 def rescaled_values(spark, d):
     z = F.col("z")
-    return b.points(spark, d).where("cloud = 'dep'").select(
+    return b.points(spark, d).select(
         "pid", v.rescale(z, 2.0, 15.0).alias("scaled"), v.rescale(z, 3.0, 3.0).alias("flat")
     )
 
@@ -572,11 +572,9 @@ def pixel_coordinates(spark, d):
 
 @query("grid_index", f"""with {POINTS}
 select pid, {rr('x', 'y')}, least(cast(trunc(least(greatest((y - 2) / 6, 0), 1) * 4) as int), 3) * 4 + least(cast(trunc(least(greatest((x - 2) / 6, 0), 1) * 4) as int), 3) as ix
-from points where cloud = 'dep'""")
+from points""")
 def grid_index(spark, d):
-    from tileloom.operators.normalize import grid_index as index
-
-    dep = b.points(spark, d).where("cloud = 'dep'")
     from tileloom.operators.grid import fixed_box
+    from tileloom.operators.normalize import grid_index as index
 
-    return dep.select("pid", "x", "y", index(F.col("x"), F.col("y"), fixed_box(2, 2, 8, 8), 4).alias("ix"))
+    return b.points(spark, d).select("pid", "x", "y", index(F.col("x"), F.col("y"), fixed_box(2, 2, 8, 8), 4).alias("ix"))

@@ -172,6 +172,40 @@ def downsample_to_caps(points: DataFrame, caps: list[int], start_cm: float = 4.0
     return flags
 
 
+def cloud_digests(points: DataFrame) -> DataFrame:
+    """(tile_id, digest): equal for equal sets of rows (pid, x, y, z), whatever their order and partitions."""
+    row = F.xxhash64("pid", *AXES)
+    again = F.xxhash64(F.lit("again"), "pid", *AXES)
+    parts = [F.count(F.lit(1)).cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string"), F.sum(again.cast("decimal(38,0)")).cast("string")]
+    return points.groupBy("tile_id").agg(F.concat_ws("_", *parts).alias("digest"))
+
+
+def still_valid(stored: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of ``stored`` (with tile_id and digest) that were made from the clouds as they are now."""
+    return stored.join(digests, ["tile_id", "digest"], "left_semi")
+
+
+def downsample_with_masks(
+    points: DataFrame, stored: DataFrame, most: int, start_cm: float = 4.0, ratio: float = 1.0, **options
+) -> tuple[DataFrame, DataFrame]:
+    """V3 with stored masks: the thinned points, and the masks of all their tiles.
+
+    ``stored`` has one row per kept point: tile_id, cap, start_cm, ratio, digest, pid, x, y, z. A tile's mask
+    counts if it was made with the same settings from the same cloud; all other tiles are thinned anew.
+    The masks that come back are valid for ``points`` and may be stored in place of the old ones.
+    """
+    key = ["tile_id", "pid", *AXES]
+    digests = cut_lineage(cloud_digests(points))
+    same = (F.col("cap") == most) & (F.col("start_cm") == float(start_cm)) & (F.col("ratio") == float(ratio))
+    good = cut_lineage(still_valid(stored.where(same), digests).select("digest", *key).distinct())
+    done = good.select("tile_id").distinct()
+    reused = points.join(good.select(*key), key, "left_semi")
+    fresh = adaptive_downsample(points.join(done, "tile_id", "left_anti"), most, start_cm, ratio, **options)
+    kept = cut_lineage(reused.unionByName(fresh))
+    settings = [F.lit(most).alias("cap"), F.lit(float(start_cm)).alias("start_cm"), F.lit(float(ratio)).alias("ratio")]
+    return kept, kept.join(digests, "tile_id").select("tile_id", *settings, "digest", "pid", *AXES)
+
+
 def octree_lowest(points: DataFrame, depth: int) -> DataFrame:
     """V5: the lowest point of every octant at a depth of the cloud's box.
 

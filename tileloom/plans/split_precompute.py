@@ -8,10 +8,13 @@ from tileloom.functions.draws import uniform
 from tileloom.operators import imagery, neighbors, normalize, quality
 from tileloom.operators.ranks import lowest_n, spare
 from tileloom.operators.spatial import tiles_on_polygons
-from tileloom.operators.voxel import adaptive_downsample
+from tileloom.operators.voxel import cloud_digests, downsample_with_masks, still_valid
 from tileloom.session import cut_lineage
 
 
+MASKS = "tile_id string, cap int, start_cm double, ratio double, digest string, pid long, x double, y double, z double"
+
+
 def random_part(tiles: DataFrame, ratio: float, seed) -> DataFrame:
     """int(n * ratio) tiles by hash, exactly."""
     (one,) = spare(tiles, "_all")
@@ -52,12 +55,18 @@ def precompute(
     tiles: DataFrame, points: DataFrame, pixels: DataFrame, attributes: list[str], survey_date: str,
     point_stats: DataFrame, radar_stats: DataFrame, max_sparse: int = 10000, max_dense: int = 40000,
     start_cm: float = 4.0, ratio: float = 0.5, k: int = 16, cap_z: float = 95.0, seed="123",
+    masks: DataFrame | None = None, graphs: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """T5: capped, thinned and normalised points, the graph, and the dated images."""
+    """T5: capped, thinned and normalised points, the graph, and the dated images.
+
+    ``masks`` and ``graphs`` are what an earlier run returned under these names: masks and edges of tiles
+    whose cloud and settings are the same are used again, those of other tiles are made anew.
+    """
     sparse = quality.cap_points(points.where(F.col("cloud") == "dep"), "dep", max_sparse, seed)
-    dense = adaptive_downsample(
-        points.where(F.col("cloud") == "uav"), max_dense, start_cm, ratio, keep_if_small=False
-    )
+    uav = points.where(F.col("cloud") == "uav")
+    if masks is None:
+        masks = points.sparkSession.createDataFrame([], MASKS)
+    dense, masks = downsample_with_masks(uav, masks, max_dense, start_cm, ratio, keep_if_small=False)
     both = sparse.unionByName(dense)
     normed = normalize.normalise_to_box(both, tiles)
     normed = normalize.standardise_attributes(normed, attributes, point_stats)
@@ -67,7 +76,12 @@ def precompute(
     )
     # Capped and thinned: far smaller than the input, and read by every output below.
     kept = cut_lineage(quality.cap_height(cut_lineage(frame), cap_z))
-    edges = neighbors.edge_table(kept.where(F.col("cloud") == "dep"), k)
+    cloud = kept.where(F.col("cloud") == "dep")
+    digests = cut_lineage(cloud_digests(cloud))
+    old = None if graphs is None else cut_lineage(still_valid(graphs.where(F.col("k") == k), digests))
+    todo = cloud if old is None else cloud.join(old.select("tile_id").distinct(), "tile_id", "left_anti")
+    edges = neighbors.edge_table(todo, k).join(digests, "tile_id")
+    edges = cut_lineage(edges if old is None else edges.unionByName(old.select(edges.columns)))
     alive = kept.select("tile_id").distinct()
     optical = normalize.scale_optical(
         pixels.where(F.col("sensor") == "naip").join(alive, "tile_id", "left_semi")
@@ -81,7 +95,8 @@ def precompute(
     scaled = normalize.standardise_radar(radar, radar_stats).join(
         slots.select("tile_id", "image_id", "dt", "event_ix", "slot", "rel_days"), ["tile_id", "image_id", "dt"]
     )
-    return {"points": kept, "edges": edges, "optical": optical, "radar": scaled, "events": slots}
+    graph = edges.drop("digest")
+    return {"points": kept, "edges": graph, "optical": optical, "radar": scaled, "events": slots, "masks": masks, "graphs": edges}
 
 
 def split_and_precompute(
