@@ -7,19 +7,30 @@ cells further away than that are dropped. What remains per query cell is a short
 list of leaf cells, and only the points of those are compared. Cells split by
 their own count, so a crowded corner or a giant tile only makes more cells; no
 step works on a tile as a whole.
+
+Groups of few points on both sides need no tree: their points meet once, by an equi-join on the
+group, and are compared in blocks of bounded size. Which groups those are is told by their counts.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, DoubleType, StructField, StructType
 
 from tileloom.session import cut_lineage
 
 AXES = ("x", "y", "z")
 LEAF = 64
 MAX_DEPTH = 16
+#: A group with at most this many leaves' worth of points on either side is compared without a tree.
+LEAVES_COMPARED = 32
+#: Distances held at once in that comparison, and its largest extent (squares stay finite).
+BLOCK, WIDEST = 1 << 18, 1e100
 
 
 def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -29,12 +40,12 @@ def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     )
     ends = both.groupBy(*group).agg(
         *[F.min(c).alias(f"_{c}0") for c in AXES], *[F.max(c).alias(f"_{c}1") for c in AXES],
-        F.sum("_t").alias("_targets"),
+        F.sum("_t").alias("_targets"), F.sum(1 - F.col("_t")).alias("_queries"),
     )
     side = F.greatest(*[F.col(f"_{c}1") - F.col(f"_{c}0") for c in AXES])
     return cut_lineage(ends.select(
         *group, *[f"_{c}0" for c in AXES], F.when(side > 0, side).otherwise(F.lit(1.0)).alias("_side"),
-        "_targets",
+        "_targets", "_queries",
     ))
 
 
@@ -49,7 +60,7 @@ def _coded(points: DataFrame, frames: DataFrame, group: list[str], depth: int) -
     for c in AXES:
         share = (F.col(c) - F.col(f"_{c}0")) / F.col("_side") * F.lit(float(n))
         out = out.withColumn(f"_i{c}", F.least(F.floor(share), F.lit(n - 1)))
-    return out.drop("_side", "_targets", *[f"_{c}0" for c in AXES])
+    return out.drop("_side", "_targets", "_queries", *[f"_{c}0" for c in AXES])
 
 
 def _tree(coded: DataFrame, group: list[str], depth: int, leaf: int) -> DataFrame:
@@ -144,6 +155,89 @@ def nearest(
     smaller (x, y, z, pid). With ``exclude_self`` a point is not its own neighbour.
     """
     group = group or ["tile_id"]
+    frames = _frames(queries, targets, group)
+    plain = {t for df in (queries, targets) for n, t in df.dtypes if n in AXES} == {"double"}
+    most = LEAVES_COMPARED * leaf if plain else 0
+    few = (F.greatest("_queries", "_targets") <= most) & (F.col("_side") < WIDEST)
+    sorts = frames.where((F.col("_queries") > 0) & (F.col("_targets") > 0)).agg(
+        F.count(F.when(few, 1)).alias("few"), F.count(F.when(~few, 1)).alias("many")
+    ).first()
+    if not sorts["many"]:
+        return _compared(queries, targets, k, group, exclude_self)
+    if not sorts["few"]:
+        return _descended(queries, targets, frames, k, group, exclude_self, leaf)
+    small, large = frames.where(few).select(*group), frames.where(~few)
+    of = lambda df, some: df.join(some.select(*group), group, "left_semi").select(df.columns)
+    return _compared(of(queries, small), of(targets, small), k, group, exclude_self).unionByName(
+        _descended(of(queries, large), of(targets, large), large, k, group, exclude_self, leaf)
+    )
+
+
+def _best(a: np.ndarray, b: np.ndarray, pid_a: np.ndarray, pid_b: np.ndarray, k: int, exclude_self: bool):
+    """Rows of ``a``, rows of ``b``, ranks and squared distances of the k nearest; ties to the earlier row of ``b``."""
+    found = []
+    for start in range(0, len(a), max(1, BLOCK // max(len(b), 1))):
+        rows = np.arange(start, min(start + max(1, BLOCK // len(b)), len(a)))
+        dx, dy, dz = (a[rows, c, None] - b[None, :, c] for c in range(3))
+        d2 = dx * dx + dy * dy + dz * dz
+        if exclude_self:
+            d2[(d2 == 0) & (pid_a[rows, None] == pid_b[None, :])] = np.inf
+        at = np.arange(len(rows))
+        order = np.argsort(d2, axis=1, kind="stable") if k > LEAVES_COMPARED else None
+        for rank in range(min(k, len(b))):
+            pick = d2.argmin(axis=1) if order is None else order[:, rank]
+            least = d2[at, pick]
+            ok = least < np.inf
+            found.append((rows[ok], pick[ok], np.full(ok.sum(), rank + 1), least[ok]))
+            if order is None:
+                d2[at, pick] = np.inf
+    return [np.concatenate(part) for part in zip(*found)]
+
+
+def _numbers(*pids: pa.ChunkedArray) -> list[np.ndarray]:
+    """Ids as numbers of the same order."""
+    if all(pa.types.is_integer(p.type) and not p.null_count for p in pids):
+        return [p.to_numpy() for p in pids]
+    every = pa.concat_arrays([chunk for p in pids for chunk in p.chunks])
+    ranks = pc.rank(every, null_placement="at_start", tiebreaker="dense").to_numpy()
+    return np.split(ranks, np.cumsum([len(p) for p in pids])[:-1])
+
+
+def _compared(queries: DataFrame, targets: DataFrame, k: int, group: list[str], exclude_self: bool) -> DataFrame:
+    """The nearest targets in groups of few points: each group's points meet in one comparison."""
+    # Dealt first, so that equal rows meet without another shuffle.
+    filled = lambda names: " and ".join(f"`{n}` is not null" for n in names)
+    dealt = lambda df, key, spot: df.where(filled([*key, *spot])).repartition(*key).distinct()
+    names = [f"n_{c}" for c in (*AXES, "pid")]
+    own = [f"_g{i}" for i in range(len(group))]
+    answers = targets.select(
+        *[F.col(g).alias(o) for g, o in zip(group, own)], *[F.col(c).alias(f"n_{c}") for c in (*AXES, "pid")]
+    )
+    a, b = dealt(queries, group, AXES), dealt(answers, own, names[:3])
+    kept, ranked = queries.columns, k > 1
+    fields = [*a.schema.fields, StructField("d2", DoubleType()), *[b.schema[n] for n in names]]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields] + [StructField("rank", IntegerType())] * ranked)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            columns = {n: left[n].slice(0, 0) for n in kept} | {"d2": pa.array([], pa.float64())}
+            columns |= {n: right[n].slice(0, 0) for n in names}
+            return pa.table(columns | ({"rank": pa.array([], pa.int32())} if ranked else {}))
+        spots = [np.column_stack([t[c].to_numpy() for c in some]) for t, some in ((left, AXES), (right, names[:3]))]
+        pid_a, pid_b = _numbers(left["pid"], right["n_pid"])
+        order = np.lexsort((pid_b, *(spots[1][:, c] for c in (2, 1, 0))))
+        mine, other, rank, d2 = _best(spots[0], spots[1][order], pid_a, pid_b[order], k, exclude_self)
+        met, near = left.take(pa.array(mine)), right.take(pa.array(order[other]))
+        columns = {n: met[n] for n in kept} | {"d2": pa.array(d2)} | {n: near[n] for n in names}
+        return pa.table(columns | ({"rank": pa.array(rank.astype("int32"))} if ranked else {}))
+
+    return a.groupBy(*group).cogroup(b.groupBy(*own)).applyInArrow(compare, schema)
+
+
+def _descended(
+    queries: DataFrame, targets: DataFrame, frames: DataFrame, k: int, group: list[str], exclude_self: bool, leaf: int
+) -> DataFrame:
+    """The nearest targets by a descent of both trees."""
     need = k + 1 if exclude_self else k
     # Copies of one coordinate beyond the first few can never be reported.
     spot = [*group, *AXES]
@@ -153,7 +247,6 @@ def nearest(
     else:
         copies = Window.partitionBy(*spot).orderBy("pid")
         b = b.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= need).drop("_c")
-    frames = _frames(queries, targets, group)
     size = frames.agg(F.max("_targets").alias("most"), F.sum("_targets").alias("total")).first()
     depth = _depth_for(size["most"] or 0, leaf)
     key = [*group, "_t"]
