@@ -365,7 +365,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def edge_table(points: DataFrame, k: int) -> DataFrame:
-    graph = knn_graph(points, k).select("tile_id", F.col("pid").alias("src"), F.col("n_pid").alias("dst"))
+    # Written once: the search reads its points several times, and they may be long to make.
+    graph = knn_graph(cut_lineage(points.select("tile_id", "pid", *AXES)), k).select("tile_id", F.col("pid").alias("src"), F.col("n_pid").alias("dst"))
     return undirected(graph).select("tile_id", F.lit(k).alias("k"), "src", "dst")
 
 
