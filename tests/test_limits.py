@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tileloom.operators import augment
 from tileloom.session import MOST_BROADCAST, tune
 
@@ -40,3 +42,12 @@ def test_masking_reads_its_points_once(spark):
     left = augment.mask_points(points, "1", 1.0, 5.0)
     assert 200 < left.count() < 400 and left.join(made, left.columns, "left_anti").isEmpty()
     assert reads.value == 400
+
+
+def test_a_packed_file_of_many_rows_is_not_broadcast(spark, tmp_path):
+    tune(spark)
+    spark.range(600_000).selectExpr("pmod(xxhash64(id), 1000) as k").write.parquet(f"{tmp_path}/packed")
+    packed = spark.read.parquet(f"{tmp_path}/packed")
+    long = packed.selectExpr("k", "explode(array(1, 2, 3)) as part")
+    plan = spark.range(2_000_000).join(long, F.col("id") == F.col("k"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
