@@ -51,3 +51,14 @@ def test_equal_rows_and_rows_without_coordinates(spark):
     )
     got = {(r["pid"], r["n_pid"], r["d2"]) for r in neighbors.nearest(points, points, exclude_self=True).collect()}
     assert got == {(1, 2, 25.0), (2, 1, 25.0)}
+
+
+def test_many_small_groups_share_a_call(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    numbers = neighbors._numbers
+    monkeypatch.setattr(neighbors, "_numbers", lambda *pids: calls.add(1) or numbers(*pids))
+    queries, qs = cloud(spark, {f"t{i}": 6 for i in range(60)}, 4)
+    targets, ts = cloud(spark, {f"t{i}": 5 for i in range(55)}, 5)
+    found = neighbors.nearest(queries, targets).collect()
+    assert {(r["tile_id"], r["pid"], 1, r["d2"], r["n_pid"]) for r in found} == brute(qs, ts, 1, False)
+    assert len(found) == 55 * 6 and calls.value <= 4

@@ -8,8 +8,8 @@ list of leaf cells, and only the points of those are compared. Cells split by
 their own count, so a crowded corner or a giant tile only makes more cells; no
 step works on a tile as a whole.
 
-Groups of few points on both sides need no tree: their points meet once, by an equi-join on the
-group, and are compared in blocks of bounded size. Which groups those are is told by their counts.
+Groups of few points on both sides need no tree: their points meet once, by an equi-join on a bucket
+of groups, and are compared group by group in blocks of bounded size. Which groups those are is told by their counts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, DoubleType, StructField, StructType
 
+from tileloom.operators.ranks import spare
 from tileloom.session import cut_lineage
 
 AXES = ("x", "y", "z")
@@ -30,7 +31,9 @@ MAX_DEPTH = 16
 #: A group with at most this many leaves' worth of points on either side is compared without a tree.
 LEAVES_COMPARED = 32
 #: Distances held at once in that comparison, and its largest extent (squares stay finite).
-BLOCK, WIDEST = 1 << 18, 1e100
+BLOCK, WIDEST = 1 << 14, 1e100
+#: Rows of both sides that one call of that comparison gets, in expectation: many groups of few points.
+ROWS_MET = 1 << 15
 
 
 def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -160,26 +163,34 @@ def nearest(
     most = LEAVES_COMPARED * leaf if plain else 0
     few = (F.greatest("_queries", "_targets") <= most) & (F.col("_side") < WIDEST)
     sorts = frames.where((F.col("_queries") > 0) & (F.col("_targets") > 0)).agg(
-        F.count(F.when(few, 1)).alias("few"), F.count(F.when(~few, 1)).alias("many")
+        F.count(F.when(few, 1)).alias("few"), F.count(F.when(~few, 1)).alias("many"),
+        F.coalesce(F.sum(F.when(few, F.col("_queries") + F.col("_targets"))), F.lit(0)).alias("rows"),
     ).first()
     if not sorts["many"]:
-        return _compared(queries, targets, k, group, exclude_self)
+        return _compared(queries, targets, k, group, exclude_self, sorts["rows"])
     if not sorts["few"]:
         return _descended(queries, targets, frames, k, group, exclude_self, leaf)
     small, large = frames.where(few).select(*group), frames.where(~few)
     of = lambda df, some: df.join(some.select(*group), group, "left_semi").select(df.columns)
-    return _compared(of(queries, small), of(targets, small), k, group, exclude_self).unionByName(
+    return _compared(of(queries, small), of(targets, small), k, group, exclude_self, sorts["rows"]).unionByName(
         _descended(of(queries, large), of(targets, large), large, k, group, exclude_self, leaf)
     )
 
 
 def _best(a: np.ndarray, b: np.ndarray, pid_a: np.ndarray, pid_b: np.ndarray, k: int, exclude_self: bool):
     """Rows of ``a``, rows of ``b``, ranks and squared distances of the k nearest; ties to the earlier row of ``b``."""
-    found = []
-    for start in range(0, len(a), max(1, BLOCK // max(len(b), 1))):
-        rows = np.arange(start, min(start + max(1, BLOCK // len(b)), len(a)))
-        dx, dy, dz = (a[rows, c, None] - b[None, :, c] for c in range(3))
-        d2 = dx * dx + dy * dy + dz * dz
+    found, step = [], max(1, BLOCK // max(len(b), 1))
+    # Two buffers small enough for a core's cache take all blocks.
+    whole, part = np.empty((min(step, len(a)), len(b))), np.empty((min(step, len(a)), len(b)))
+    of_b = np.ascontiguousarray(b.T)
+    for start in range(0, len(a), step):
+        rows = np.arange(start, min(start + step, len(a)))
+        d2, gap = whole[: len(rows)], part[: len(rows)]
+        for c, out in enumerate((d2, gap, gap)):
+            np.subtract(a[rows, c, None], of_b[c], out=out)
+            np.multiply(out, out, out=out)
+            if c:
+                np.add(d2, gap, out=d2)
         if exclude_self:
             d2[(d2 == 0) & (pid_a[rows, None] == pid_b[None, :])] = np.inf
         at = np.arange(len(rows))
@@ -203,11 +214,36 @@ def _numbers(*pids: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(ranks, np.cumsum([len(p) for p in pids])[:-1])
 
 
-def _compared(queries: DataFrame, targets: DataFrame, k: int, group: list[str], exclude_self: bool) -> DataFrame:
-    """The nearest targets in groups of few points: each group's points meet in one comparison."""
-    # Dealt first, so that equal rows meet without another shuffle.
+def _codes(left: list[pa.ChunkedArray], right: list[pa.ChunkedArray]) -> list[np.ndarray]:
+    """The groups of the rows of two tables as numbers, equal for equal groups."""
+    codes = np.zeros(len(left[0]) + len(right[0]), np.int64)
+    for some in zip(left, right):
+        every = pa.concat_arrays([chunk for c in some for chunk in c.chunks])
+        if pa.types.is_floating(every.type):
+            every = pc.add(every, 0.0)
+        own = every.dictionary_encode().indices.to_numpy().astype(np.int64)
+        codes = np.unique(codes * (own.max() + 1) + own, return_inverse=True)[1]
+    return np.split(codes, [len(left[0])])
+
+
+def _compared(
+    queries: DataFrame, targets: DataFrame, k: int, group: list[str], exclude_self: bool, rows: int
+) -> DataFrame:
+    """The nearest targets in groups of few points: a group's points meet in one comparison.
+
+    Many groups share a bucket, so that a call costs little beside its comparisons; ``rows`` is the
+    number of rows of both frames, and a bucket holds about ``ROWS_MET`` of them.
+    """
     filled = lambda names: " and ".join(f"`{n}` is not null" for n in names)
-    dealt = lambda df, key, spot: df.where(filled([*key, *spot])).repartition(*key).distinct()
+    plus = lambda df, key: [F.col(c) + F.lit(0.0) if t in ("double", "float") else F.col(c) for c, t in df.select(*key).dtypes]
+    at = spare(queries, "_bucket")[0]
+    buckets = F.lit(max(1, math.ceil(rows / ROWS_MET)))
+
+    def dealt(df, key, spot):
+        # Dealt first, so that equal rows meet without another shuffle.
+        kept = df.where(filled([*key, *spot])).withColumn(at, F.pmod(F.xxhash64(*plus(df, key)), buckets))
+        return kept.repartition(at).distinct()
+
     names = [f"n_{c}" for c in (*AXES, "pid")]
     own = [f"_g{i}" for i in range(len(group))]
     answers = targets.select(
@@ -215,23 +251,32 @@ def _compared(queries: DataFrame, targets: DataFrame, k: int, group: list[str],
     )
     a, b = dealt(queries, group, AXES), dealt(answers, own, names[:3])
     kept, ranked = queries.columns, k > 1
-    fields = [*a.schema.fields, StructField("d2", DoubleType()), *[b.schema[n] for n in names]]
+    fields = [*[a.schema[n] for n in kept], StructField("d2", DoubleType()), *[b.schema[n] for n in names]]
     schema = StructType([StructField(f.name, f.dataType) for f in fields] + [StructField("rank", IntegerType())] * ranked)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
+        found = []
+        if len(left) and len(right):
+            spots = [np.column_stack([t[c].to_numpy() for c in some]) for t, some in ((left, AXES), (right, names[:3]))]
+            pid_a, pid_b = _numbers(left["pid"], right["n_pid"])
+            code_a, code_b = _codes([left[g] for g in group], [right[o] for o in own])
+            by_a, by_b = np.argsort(code_a, kind="stable"), np.lexsort((pid_b, *(spots[1][:, c] for c in (2, 1, 0)), code_b))
+            there = np.intersect1d(code_a, code_b)
+            ends = [np.searchsorted(code[by], there, side) for code, by in ((code_a, by_a), (code_b, by_b)) for side in ("left", "right")]
+            for a0, a1, b0, b1 in zip(*ends):
+                mine, other = by_a[a0:a1], by_b[b0:b1]
+                m, o, rank, d2 = _best(spots[0][mine], spots[1][other], pid_a[mine], pid_b[other], k, exclude_self)
+                found.append((mine[m], other[o], rank, d2))
+        if not found:
             columns = {n: left[n].slice(0, 0) for n in kept} | {"d2": pa.array([], pa.float64())}
             columns |= {n: right[n].slice(0, 0) for n in names}
             return pa.table(columns | ({"rank": pa.array([], pa.int32())} if ranked else {}))
-        spots = [np.column_stack([t[c].to_numpy() for c in some]) for t, some in ((left, AXES), (right, names[:3]))]
-        pid_a, pid_b = _numbers(left["pid"], right["n_pid"])
-        order = np.lexsort((pid_b, *(spots[1][:, c] for c in (2, 1, 0))))
-        mine, other, rank, d2 = _best(spots[0], spots[1][order], pid_a, pid_b[order], k, exclude_self)
-        met, near = left.take(pa.array(mine)), right.take(pa.array(order[other]))
+        mine, other, rank, d2 = (np.concatenate(part) for part in zip(*found))
+        met, near = left.take(pa.array(mine)), right.take(pa.array(other))
         columns = {n: met[n] for n in kept} | {"d2": pa.array(d2)} | {n: near[n] for n in names}
         return pa.table(columns | ({"rank": pa.array(rank.astype("int32"))} if ranked else {}))
 
-    return a.groupBy(*group).cogroup(b.groupBy(*own)).applyInArrow(compare, schema)
+    return a.groupBy(at).cogroup(b.groupBy(at)).applyInArrow(compare, schema)
 
 
 def _descended(
