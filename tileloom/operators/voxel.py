@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tileloom.session import cut_lineage
 
 AXES = ("x", "y", "z")
+#: A tile of at most this many points is searched for its voxel size by one call, which gets about ROWS_MET of many tiles.
+POINTS_SEARCHED, ROWS_MET = 1 << 16, 1 << 16
+#: Largest coordinate of such a tile (voxel numbers stay whole).
+WIDEST = 1e9
 
 
 def _origins(points: DataFrame) -> DataFrame:
@@ -72,13 +81,18 @@ def adaptive_sizes(
 ) -> DataFrame:
     """V3: the voxel size per tile that leaves at most ``most`` points.
 
-    Set-wise bisection: one pass counts the voxels of every tile still searching at
+    Tiles of few points are searched where their points meet, many tiles a call. The others by
+    set-wise bisection: one pass counts the voxels of every tile still searching at
     the tile's own middle size and at the two sizes that can come next, so a pass
     settles two halvings. Tiles whose bracket never reaches the cap grow their size
     afterwards, again all of them per pass. The state is one row per tile.
     Columns tile_id, size_cm, n_points, whole (all points kept).
     """
-    base = _origins(points)
+    even = [F.coalesce(F.max(F.abs(a)) < WIDEST, F.lit(False)) & (F.count(a) == F.count(F.lit(1))) for a in AXES]
+    base = points.groupBy("tile_id").agg(
+        F.count(F.lit(1)).alias("n_points"), *[F.min(a).alias(f"_{a}0") for a in AXES],
+        (even[0] & even[1] & even[2] & F.col("tile_id").isNotNull()).alias("_even"),
+    )
     if isinstance(start_cm, DataFrame):
         base = base.join(start_cm.select("tile_id", F.col("size_cm").alias("lo")), "tile_id")
     else:
@@ -86,7 +100,24 @@ def adaptive_sizes(
     whole = (F.col("n_points") <= most) if keep_if_small else F.lit(False)
     frame = ["tile_id", *[f"_{a}0" for a in AXES]]
     fixed = [*frame, "n_points", "first", "whole"]
-    state = cut_lineage(base.withColumn("first", F.col("lo")).withColumn("whole", whole).select(
+    plain = {t for n, t in points.dtypes if n in AXES} == {"double"}
+    few = F.col("_even") & (F.col("n_points") <= (POINTS_SEARCHED if plain else 0)) & F.col("lo").isNotNull()
+    base = cut_lineage(base.withColumn("_few", F.coalesce(few, F.lit(False)) | whole).withColumn("whole", whole))
+    sorts = base.agg(
+        F.count(F.when(F.col("_few") & ~F.col("whole"), 1)).alias("few"), F.count(F.when(~F.col("_few"), 1)).alias("many"),
+        F.coalesce(F.sum(F.when(F.col("_few") & ~F.col("whole"), F.col("n_points"))), F.lit(0)).alias("rows"),
+    ).first()
+    of = lambda some: points.join(base.where(some).select("tile_id"), "tile_id", "left_semi").select(points.columns)
+    settled = base.where("_few and whole").select("tile_id", F.col("lo").alias("size_cm"), "n_points", "whole")
+    if sorts["few"]:
+        small = base.where("_few and not whole")
+        asked = of("_few and not whole") if sorts["many"] or keep_if_small else points
+        found = _searched(asked, small, sorts["rows"], most, ratio, rounds, width, growth_passes)
+        settled = settled.unionByName(cut_lineage(found))
+    if not sorts["many"]:
+        return settled
+    points = of(~F.col("_few")) if sorts["few"] else points
+    state = cut_lineage(base.where(~F.col("_few")).withColumn("first", F.col("lo")).select(
         *fixed, "lo", (F.col("lo") * 10).alias("hi"),
         F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_n"),
     ))
@@ -140,7 +171,69 @@ def adaptive_sizes(
         ))
         factor *= 1.2
     size = F.when(F.col("whole"), F.col("first")).otherwise(F.col("best"))
-    return state.select("tile_id", size.alias("size_cm"), "n_points", "whole")
+    return settled.unionByName(state.select("tile_id", size.alias("size_cm"), "n_points", "whole"))
+
+
+def _occupied(xyz: np.ndarray, least: np.ndarray, size: float, ratio: float) -> int:
+    """The number of voxels of a size (metres) that hold points."""
+    index = [np.floor((xyz[c] - least[c]) / (size * (ratio if a == "z" else 1.0))) for c, a in enumerate(AXES)]
+    spans = [i.max() + 1 for i in index]
+    if spans[0] * spans[1] * spans[2] >= 2.0**53:
+        return len(np.unique(np.column_stack(index), axis=0))
+    return len(np.unique((index[0] * spans[1] + index[1]) * spans[2] + index[2]))
+
+
+def _fitting_size(count, first: float, most: int, ratio: float, rounds: int, width: float, growth_passes: int) -> float:
+    """V3's search for one tile; ``count`` tells the occupied voxels at a size in cm."""
+    lo, hi, best, best_n = first, first * 10, None, None
+    for _ in range(rounds):
+        if not hi - lo > width:
+            break
+        mid = (lo + hi) / 2
+        n = count(mid)
+        if n > most:
+            lo = mid
+            continue
+        if best is None or n > best_n:
+            best, best_n = mid, n
+        hi = mid
+    if best is not None:
+        return best
+    cur, factor = lo, 0.5
+    for _ in range(growth_passes):
+        n = count(cur)
+        if n <= most:
+            return cur
+        over = n / most if most else math.inf
+        cur += 2.0 * over if ratio == 1.0 else min(5.0, factor * over)
+        factor *= 1.2
+    raise RuntimeError("voxel sizes did not reach the cap; raise growth_passes")
+
+
+def _searched(points: DataFrame, tiles: DataFrame, rows: int, most, ratio, rounds, width, growth_passes) -> DataFrame:
+    """The voxel sizes of tiles of few points: the points of many tiles meet in a call, each tile is searched by itself."""
+    buckets = F.lit(max(1, math.ceil(rows / ROWS_MET)))
+    dealt = lambda df, tile: df.withColumn("_bucket", F.pmod(F.xxhash64(tile), buckets)).repartition("_bucket")
+    least = [f"_{a}0" for a in AXES]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        tile = right["_tile"].combine_chunks()
+        own = pc.index_in(left["tile_id"].combine_chunks(), tile).fill_null(-1).to_numpy()
+        order = np.argsort(own, kind="stable")
+        xyz = [left[a].to_numpy()[order] for a in AXES]
+        starts = np.column_stack([right[n].to_numpy() for n in least])
+        ends = [np.searchsorted(own[order], np.arange(len(tile)), side) for side in ("left", "right")]
+        sizes = []
+        for t, (lo, begin, end) in enumerate(zip(right["lo"].to_pylist(), *ends)):
+            mine = [x[begin:end] for x in xyz]
+            count = lambda cm: _occupied(mine, starts[t], cm / 100, ratio)
+            sizes.append(_fitting_size(count, lo, most, ratio, rounds, width, growth_passes))
+        return pa.table({"tile_id": tile, "size_cm": pa.array(sizes, pa.float64()), "n_points": right["n_points"], "whole": right["whole"]})
+
+    states = tiles.select(F.col("tile_id").alias("_tile"), *least, "lo", "n_points", "whole")
+    met = dealt(points.select("tile_id", *AXES), "tile_id").groupBy("_bucket").cogroup(dealt(states, "_tile").groupBy("_bucket"))
+    kind = dict(tiles.dtypes)["tile_id"]
+    return met.applyInArrow(search, f"tile_id {kind}, size_cm double, n_points long, whole boolean")
 
 
 def adaptive_downsample(points: DataFrame, most: int, start_cm: float = 4.0, ratio: float = 1.0, **options) -> DataFrame:
