@@ -61,6 +61,21 @@ def test_only_states_are_shuffled(spark):
     assert states.first().bands == [19600.0, 4.0]
 
 
+def test_few_values_of_a_cell_become_one_state(spark):
+    class States:
+        def state(self, values):
+            return 1
+
+        def merge(self, a, b):
+            return a + b
+
+        def finish(self, state):
+            return float(state)
+
+    counted = cell_states.cell_statistic(cells(spark, 3000, 7), States(), "z")
+    assert {r.v for r in counted.collect()} == {1.0}
+
+
 def test_no_values_and_other_keys(spark):
     rows = cells(spark).where("z is null")
     assert cell_states.cell_statistic(rows, cell_states.TrimmedMean(0.1)).collect() == []
