@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tileloom import schemas
 from tileloom.functions.draws import uniform
-from tileloom.operators.ranks import numbered, numbered_within
+from tileloom.operators.ranks import numbered, numbered_within, spare, totals
+
+#: A chunk is split among several tasks if it has more rows than this, or more than twice the mean chunk's.
+ROWS_PER_SHARE = 500_000
 
 
 def tiles_from_features(raw: DataFrame, source: str = "geojson") -> DataFrame:
@@ -77,14 +80,21 @@ def with_chunks(tiles: DataFrame, size: int) -> DataFrame:
 def write_chunks(rows: DataFrame, path: str, size: int, mode: str = "append", salts: int = 8) -> None:
     """The rows of ``size`` tiles in each chunk folder, with the tile's number.
 
-    A chunk is written by ``salts`` tasks, each with a share of every tile's rows, so that a tile of
-    very many rows is not one task's; files are of bounded length.
+    A chunk of many rows, or of far more than the others, is written by up to ``salts`` tasks, each with a share
+    of every tile's rows, so that a tile of very many rows is not one task's; files are of bounded length. Other
+    chunks are one file each.
     """
-    chunks = with_chunks(rows.select("tile_id").distinct(), size)
-    share = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in rows.columns]), F.lit(salts))
-    rows.withColumn("_share", share).join(chunks, "tile_id").repartition("chunk_ix", "_share").sortWithinPartitions(
+    share, parts, n = spare(rows, "_share", "_parts", "_n")
+    sizes = rows.groupBy("tile_id").agg(F.count(F.lit(1)).alias(n))
+    chunks = with_chunks(sizes, size)
+    every = totals(chunks, rows=F.sum(n), chunks=F.max("chunk_ix") + 1)
+    usual = F.least(F.lit(ROWS_PER_SHARE), F.lit(2) * every["rows"] / every["chunks"])
+    needed = F.ceil(F.sum(n).over(Window.partitionBy("chunk_ix")) / usual)
+    chunks = chunks.withColumn(parts, F.least(needed, F.lit(salts))).drop(n)
+    dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col(parts))
+    rows.join(chunks, "tile_id").withColumn(share, dealt).drop(parts).repartition("chunk_ix", share).sortWithinPartitions(
         "chunk_ix", "tile_number"
-    ).drop("_share").write.mode(mode).option("maxRecordsPerFile", 2_000_000).partitionBy("chunk_ix").parquet(path)
+    ).drop(share).write.mode(mode).option("maxRecordsPerFile", 2_000_000).partitionBy("chunk_ix").parquet(path)
 
 
 def write_splits(rows: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
