@@ -13,11 +13,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tileloom.operators.ranks import named_percentiles, percentiles, width_bucket
+from tileloom.operators.ranks import HOT_GROUP_ROWS, has_hot_group, named_percentiles, percentiles, width_bucket
 from tileloom.operators.spatial import in_box
 
 CELL = ["tile_id", "row", "col"]
 Builder = Callable[[Column], Column]
+#: Side in cells of the blocks in which a grid is dealt to tasks.
+BLOCK = 64
 
 
 def fixed_box(xmin, ymin, xmax, ymax) -> dict[str, Column]:
@@ -64,9 +66,32 @@ def without_outliers(cells: DataFrame, value: str = "z", threshold: float = 3.0)
     return off.join(spread, CELL).where(near).drop("_med", "_off", "_mad")
 
 
+def _middle(values: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(values)
+    low, high = (F.get(values, F.floor((n - o) / 2).cast("int")) for o in (1, 0))
+    return F.when(n % 2 == 1, low.cast("double")).otherwise(F.lit(0.5) * low + F.lit(0.5) * high)
+
+
+def _near_values(cells: DataFrame, value: str, threshold: float, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """G2 where nothing but the cell and the value is needed: a cell's values meet once, as one sorted array.
+
+    Cells of more than ``hot_rows`` rows send all of them through :func:`without_outliers`.
+    """
+    rows = cells.select(*CELL, value)
+    if has_hot_group(rows, CELL, hot_rows):
+        return without_outliers(rows, value, threshold)
+    listed = rows.repartition(*CELL).groupBy(*CELL).agg(F.sort_array(F.collect_list(value)).alias("_l"))
+    listed = listed.withColumn("_med", _middle(F.col("_l")))
+    off = lambda v: F.abs(v - F.col("_med"))
+    listed = listed.withColumn("_mad", _middle(F.sort_array(F.transform("_l", off))))
+    near = F.filter("_l", lambda v: (F.col("_mad") <= 0) | (off(v) <= F.lit(float(threshold)) * F.col("_mad")))
+    return listed.select(*CELL, F.explode(near).alias(value))
+
+
 def cell_aggregate_clean(points, box, res, agg, value="z", threshold=3.0) -> DataFrame:
     """G1 after G2."""
-    kept = without_outliers(with_cells(points, box, res), value, threshold)
+    kept = _near_values(with_cells(points, box, res), value, threshold)
     return kept.groupBy(*CELL).agg(agg(F.col(value)).alias("v"))
 
 
@@ -166,7 +191,7 @@ def canopy_height(points, box, res: float = 1.0, surface_threshold: float = 3.0)
     """Surface (max after outlier removal), terrain (min) and their difference."""
     cells = with_cells(points, box, res)
     ground = cells.groupBy(*CELL).agg(F.min("z").alias("dtm"))
-    top = without_outliers(cells, "z", surface_threshold).groupBy(*CELL).agg(F.max("z").alias("dsm"))
+    top = _near_values(cells, "z", surface_threshold).groupBy(*CELL).agg(F.max("z").alias("dsm"))
     return top.join(ground, CELL).select(*CELL, "dsm", "dtm", (F.col("dsm") - F.col("dtm")).alias("chm"))
 
 
@@ -273,71 +298,60 @@ def idw_surface(
     return found.select(*CELL, F.coalesce("_hit", F.try_divide("_wv", "_w")).alias("v"))
 
 
-def _mirror(i: Column, n: int) -> Column:
-    """Index mirrored at both edges with the edge cell repeated (d c b a | a b c d)."""
-    period = F.pmod(i, F.lit(2 * n))
-    return F.least(period, F.lit(2 * n - 1) - period)
-
-
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     reach = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     return [w / sum(raw) for w in raw]
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Blocks of neighbouring cells in one task each, which sums what its cells add before a shuffle."""
+    return cells.repartition("tile_id", *[F.floor(F.col(c) / F.lit(BLOCK)) for c in ("row", "col")])
+
+
+def _added(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(*CELL).agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+
 def gaussian_smooth(full: DataFrame, nrows: int, ncols: int, sigma: float = 1.0) -> DataFrame:
     """Separable Gaussian over a full grid, one pass along rows and one along columns.
 
-    Each source cell is sent to the few target cells its kernel reaches (a fixed
-    number of offsets), and the target sums with a partial aggregate.
+    Each source cell, and each of its mirror images beyond the edges, adds to the few target
+    cells its kernel reaches (a fixed number of offsets), by a partial aggregate.
     """
     weights = gaussian_weights(sigma)
     reach = len(weights) // 2
-    kernel = F.array(*[
-        F.struct(F.lit(k - reach).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(weights)
-    ])
+    kernel = F.array(*[F.lit(w) for w in weights])
     out = full
     for axis, n in (("row", nrows), ("col", ncols)):
-        # target t reads mirror(t + o); a full grid lets each target gather its sources
-        keys = [c for c in CELL if c != axis]
-        targets = out.select(*CELL).withColumn("_k", F.explode(kernel))
-        targets = targets.select(
-            *CELL, F.col("_k.w").alias("_w"), _mirror(F.col(axis) + F.col("_k.o"), n).cast("int").alias("_src")
-        )
-        sources = out.select(*keys, F.col(axis).alias("_src"), F.col("v"))
-        out = (
-            targets.join(sources, [*keys, "_src"])
-            .groupBy(*CELL)
-            .agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
-        )
+        turns = [2 * n * k for k in range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2)]
+        images = F.array(*[i + F.lit(t) for t in turns for i in (F.col(axis), F.lit(2 * n - 1) - F.col(axis))])
+        low = F.greatest(F.col("_at") - F.lit(reach), F.lit(0))
+        high = F.least(F.col("_at") + F.lit(reach), F.lit(n - 1))
+        met = _dealt(out).withColumn("_at", F.explode(images)).where(low <= high).withColumn(axis, F.explode(F.sequence(low, high)))
+        out = _added(met.withColumn("_w", F.get(kernel, (F.col("_at") - F.col(axis) + F.lit(reach)).cast("int"))))
     return out
 
 
 def upsample_bilinear(full: DataFrame, nrows: int, ncols: int, factor: float) -> DataFrame:
-    """Finer grid with both end cells kept in place, linear between neighbours."""
-    rows, cols = int(round(nrows * factor)), int(round(ncols * factor))
-    tiles = full.select("tile_id").distinct()
+    """Finer grid with both end cells kept in place, linear between neighbours.
 
-    def source(i, n, m):
-        return i * F.lit((n - 1) / max(m - 1, 1))
-
-    targets = full_grid(tiles, rows, cols)
-    targets = targets.withColumn("_fr", source(F.col("row"), nrows, rows)).withColumn(
-        "_fc", source(F.col("col"), ncols, cols)
-    )
-    corner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    targets = targets.withColumn("_k", F.explode(corner))
-    base_r = F.least(F.floor("_fr").cast("int"), F.lit(max(nrows - 2, 0)))
-    base_c = F.least(F.floor("_fc").cast("int"), F.lit(max(ncols - 2, 0)))
-    wr = F.when(F.col("_k.a") == 1, F.col("_fr") - base_r).otherwise(F.lit(1.0) - (F.col("_fr") - base_r))
-    wc = F.when(F.col("_k.b") == 1, F.col("_fc") - base_c).otherwise(F.lit(1.0) - (F.col("_fc") - base_c))
-    targets = targets.select(
-        *CELL, (wr * wc).alias("_w"),
-        (base_r + F.col("_k.a")).alias("_sr"), (base_c + F.col("_k.b")).alias("_sc"),
-    ).where(F.col("_w") != 0)
-    sources = full.select("tile_id", F.col("row").alias("_sr"), F.col("col").alias("_sc"), "v")
-    joined = targets.join(sources, ["tile_id", "_sr", "_sc"])
-    return joined.groupBy(*CELL).agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+    Each cell adds to the finer cells between its neighbours, by a partial aggregate.
+    """
+    met = _dealt(full).withColumn("_w", F.lit(1.0))
+    for axis, n in (("row", nrows), ("col", ncols)):
+        m = int(round(n * factor))
+        step = (n - 1) / max(m - 1, 1)
+        low = F.floor((F.col("_s") - 1) / F.lit(step)) - 1 if step else F.lit(0)
+        high = F.ceil((F.col("_s") + 1) / F.lit(step)) + 1 if step else F.lit(m - 1)
+        low, high = F.greatest(low.cast("int"), F.lit(0)), F.least(high.cast("int"), F.lit(m - 1))
+        met = met.withColumnRenamed(axis, "_s").where(low <= high).withColumn(axis, F.explode(F.sequence(low, high)))
+        met = met.withColumn("_f", F.col(axis) * F.lit(step))
+        met = met.withColumn("_b", F.least(F.floor("_f").cast("int"), F.lit(max(n - 2, 0))))
+        met = met.where((F.col("_s") - F.col("_b")).isin(0, 1))
+        part = F.col("_f") - F.col("_b")
+        met = met.withColumn("_w", F.col("_w") * F.when(F.col("_s") > F.col("_b"), part).otherwise(F.lit(1.0) - part)).drop("_s", "_f", "_b")
+    return _added(met.where(F.col("_w") != 0))
 
 
 def smoothed_terrain(

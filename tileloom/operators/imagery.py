@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tileloom.functions.values import is_finite
-from tileloom.operators.ranks import named_percentiles
+from tileloom.operators.grid import BLOCK
+from tileloom.operators.ranks import named_percentiles, spare
 
 
 def acquisition_events(images: DataFrame, key: list[str], gap_days: int = 1) -> DataFrame:
@@ -103,36 +105,45 @@ def regrid(
     """Images on another grid of the same coordinate system, origin top left.
 
     ``source`` is (xmin, ymax, resolution), ``target`` the box; its size is rounded
-    up. Each target pixel takes the few source pixels under its kernel (an equi
-    join on the source pixel); missing ones are left out of the weights, and a
-    target without any source is ``fill``.
+    up. Each source pixel adds to the few target pixels whose kernel it lies under: blocks of
+    pixels are dealt to tasks, so that a task sums what its pixels add before anything is shuffled.
+    Missing pixels are left out of the weights, and a target without any source is ``fill``.
     """
     x0, y1, sres = source
     txmin, tymin, txmax, tymax = target
     ncols, nrows = math.ceil((txmax - txmin) / res), math.ceil((tymax - tymin) / res)
-    images = pixels.select(*key).distinct()
-    grid = images.select(*key, F.explode(F.sequence(F.lit(0), F.lit(nrows - 1))).alias("row")).withColumn(
-        "col", F.explode(F.sequence(F.lit(0), F.lit(ncols - 1)))
-    )
-    # centre of the target pixel in source pixel units, centres of source pixels at whole numbers
-    fx = (F.lit(txmin) + (F.col("col") + 0.5) * res - F.lit(x0)) / sres - 0.5
-    fy = (F.lit(y1) - (F.lit(tymax) - (F.col("row") + 0.5) * res)) / sres - 0.5
     offsets, weight = _kernel(method)
-    spots = F.array(*[
-        F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in offsets for dc in offsets
-    ])
-    targets = grid.withColumn("_fx", fx).withColumn("_fy", fy).withColumn("_o", F.explode(spots))
-    start = lambda c: F.floor(F.col(c) + F.lit(0.5 if method == "nearest" else 0.0)).cast("int")
-    targets = targets.withColumn("_sr", start("_fy") + F.col("_o.dr")).withColumn(
-        "_sc", start("_fx") + F.col("_o.dc")
+    r, c, fr, fc, wv, ws = spare(pixels.select(*key, "row", "col"), "_r", "_c", "_fr", "_fc", "_wv", "_ws")
+    # centre of the target pixel in source pixel units, centres of source pixels at whole numbers
+    fx = (F.lit(txmin) + (F.col(c) + 0.5) * res - F.lit(x0)) / sres - 0.5
+    fy = (F.lit(y1) - (F.lit(tymax) - (F.col(r) + 0.5) * res)) / sres - 0.5
+    start = lambda f: F.floor(F.col(f) + F.lit(0.5 if method == "nearest" else 0.0)).cast("int")
+
+    def reached(rows, at, out, f, centre, first, n):
+        """Rows per target index whose kernel holds the source index; ``first`` is the centre of target 0."""
+        ends = [
+            F.floor((F.col(at) + F.lit(float(o)) - F.lit(first)) * F.lit(sres / res)).cast("int") + more
+            for o, more in ((-offsets[-1] - 1, -1), (-offsets[0] + 1, 2))
+        ]
+        low, high = F.greatest(ends[0], F.lit(0)), F.least(ends[1], F.lit(n - 1))
+        some = rows.where(low <= high).withColumn(out, F.explode(F.sequence(low, high))).withColumn(f, centre)
+        return some.where((F.col(at) - start(f)).between(offsets[0], offsets[-1]))
+
+    known = reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in key])
+    block = [F.floor(F.col(i) / F.lit(BLOCK)) for i in ("row", "col")]
+    met = pixels.where(known & F.col("v").isNotNull()).select(*key, "row", "col", "v").repartition(*key, *block)
+    met = reached(met, "row", r, fr, fy, (y1 - tymax + 0.5 * res) / sres - 0.5, nrows)
+    met = reached(met, "col", c, fc, fx, (txmin - x0 + 0.5 * res) / sres - 0.5, ncols)
+    w = weight(F.col(fr) - F.col("row")) * weight(F.col(fc) - F.col("col"))
+    added = met.withColumn(ws, w).where(F.col(ws) != 0).select(
+        *key, F.col(r).alias("row"), F.col(c).alias("col"), (F.col(ws) * F.col("v")).alias(wv), ws
     )
-    w = weight(F.col("_fy") - F.col("_sr")) * weight(F.col("_fx") - F.col("_sc"))
-    targets = targets.select(*key, "row", "col", "_sr", "_sc", w.alias("_w")).where(F.col("_w") != 0)
-    sources = pixels.select(*key, F.col("row").alias("_sr"), F.col("col").alias("_sc"), "v")
-    joined = targets.join(sources, [*key, "_sr", "_sc"], "left")
-    here = F.when(F.col("v").isNotNull(), F.col("_w"))
-    found = joined.groupBy(*key, "row", "col").agg(
-        F.sum(F.col("_w") * F.col("v")).alias("_wv"), F.sum(here).alias("_ws")
+    # Every target of every image once, with nothing added: those without a source get ``fill``.
+    grid = pixels.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(nrows - 1))).alias("row"))
+    grid = grid.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(ncols - 1))))
+    nothing = [F.lit(None).cast("double").alias(n) for n in (wv, ws)]
+    found = added.unionByName(grid.select("*", *nothing)).groupBy(*key, "row", "col").agg(
+        F.sum(wv).alias(wv), F.sum(ws).alias(ws)
     )
-    value = F.coalesce(F.try_divide("_wv", "_ws"), F.lit(float(fill)))
+    value = F.coalesce(F.try_divide(wv, ws), F.lit(float(fill)))
     return found.select(*key, "row", "col", value.alias("v"))
