@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tileloom.operators.ranks import cumulative_histogram
 
 SIDE = ["tile_id", "side"]
+#: Exponents in this range of each other are summed as they are (the least term is about 1e-223).
+STEP = 512.0
 
 
 def _two_sides(per_side: DataFrame, value: str, combine: Callable[[Column, Column], Column], out: str):
@@ -168,15 +170,21 @@ def info_chamfer(nn: DataFrame, tau: float = 0.3, lam: float | None = None, lam_
 
     The weight of the log-sum-exp term is ``lam``, or ``lam_factor`` over the size of
     the cloud ``lam_over`` for both sides, or (``lam_over=None``) one over the size of
-    the other cloud. The exponent is shifted by the largest term.
+    the other cloud. Exponents are shifted by whole steps of ``STEP`` and summed per step, so that no
+    term of the sum is lost and the neighbours are read once.
     """
-    rows = nn.select(*SIDE, _manhattan().alias("d"))
-    least = rows.groupBy(*SIDE).agg(F.min("d").alias("_m"), F.count(F.lit(1)).alias("n"))
-    spread = F.exp(-(F.col("d") - F.col("_m")) / F.lit(float(tau)))
-    sums = rows.join(least, SIDE).groupBy(*SIDE, "_m", "n").agg(
-        F.sum("d").alias("_d"), F.sum(spread).alias("_e")
+    rows = nn.select(*SIDE, _manhattan().alias("d")).withColumn("_x", F.col("d") / F.lit(float(tau)))
+    rows = rows.withColumn("_s", F.floor(F.col("_x") / F.lit(STEP)))
+    steps = rows.groupBy(*SIDE, "_s").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("d").alias("_d"),
+        F.sum(F.exp(F.col("_s") * F.lit(STEP) - F.col("_x"))).alias("_e"),
     )
-    lse = F.log("_e") - F.col("_m") / F.lit(float(tau))
+    steps = steps.withColumn("_m", F.min("_s").over(Window.partitionBy(*SIDE)))
+    sums = steps.groupBy(*SIDE).agg(
+        F.sum("n").alias("n"), F.sum("_d").alias("_d"), F.max("_m").alias("_m"),
+        F.sum(F.col("_e") * F.exp((F.col("_m") - F.col("_s")) * F.lit(STEP))).alias("_e"),
+    )
+    lse = F.log("_e") - F.col("_m") * F.lit(STEP)
     sides = sums.select("tile_id", "side", "n", (F.col("_d") / (F.lit(tau) * F.col("n"))).alias("cd"), lse.alias("lse"))
     pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
     wide = sides.groupBy("tile_id").agg(*[
