@@ -8,6 +8,7 @@ inside one bucket are ever ordered together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,6 +18,8 @@ from tileloom.session import cut_lineage
 ROWS_PER_BUCKET = 100_000
 HASH_BUCKETS = 65_536
 HOT_GROUP_ROWS = 2_000_000
+#: Rows of one key that a task reads where they meet the key's bounds; keys of more rows are dealt to several.
+ROWS_MET = 500_000
 
 
 def totals(df: DataFrame, **aggregates: Column) -> Column:
@@ -82,14 +85,25 @@ def lowest_n(
 
 
 def width_bucket(hist, keys, value, name, rows_per_bucket):
-    """Equal-width buckets between the least and greatest value of each key."""
-    span = hist.groupBy(*keys).agg(
+    """Equal-width buckets between the least and greatest value of each key.
+
+    A key may hold all rows: where one has many, rows meet a copy of their key's bounds per share of a hash.
+    """
+    span = cut_lineage(hist.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_m")
-    )
+    ))
+    shares = math.ceil((span.agg(F.max("_m")).first()[0] or 0) / ROWS_MET)
     parts = F.ceil(F.col("_m") / F.lit(rows_per_bucket))
     share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), parts - 1)
-    return hist.join(span, keys).withColumn(name, bucket).drop("_lo", "_hi", "_m")
+    if shares > 1:
+        (at,) = spare(hist, "_share")
+        dealt = hist.withColumn(at, F.pmod(F.xxhash64(value), F.lit(shares)).cast("int"))
+        every = span.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        met = dealt.join(every, [*keys, at]).drop(at)
+    else:
+        met = hist.join(span, keys)
+    return met.withColumn(name, bucket).drop("_lo", "_hi", "_m")
 
 
 def cumulative_histogram(
