@@ -541,13 +541,18 @@ def convex_hull(points: DataFrame, rounds: int = 2, rows_per_strip: int = 100_00
     return left.groupBy("tile_id").applyInPandas(_hull_frame, schema)
 
 
+#: Turns to the left by less than this (radians) are rounding: points on a line stay on it.
+STRAIGHT = 1e-13
+
+
 def _chain(pts):
     """One monotone chain; a point that does not turn left is dropped."""
     out = []
     for x, y in pts:
         while len(out) > 1:
             (ax, ay), (bx, by) = out[-2:]
-            if (bx - ax) * (y - ay) > (by - ay) * (x - ax):
+            turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            if turn > STRAIGHT * math.hypot(bx - ax, by - ay) * math.hypot(x - ax, y - ay):
                 break
             out.pop()
         out.append((x, y))
