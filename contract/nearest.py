@@ -22,8 +22,8 @@ def _knn(k: int, where: str = "true") -> str:
 knn as (select * from kp where rank <= {k})"""
 
 
-def _nn(spark, d):
-    return nb.both_ways(b.points(spark, d), "dep", "uav")
+def _nn(spark, d, *want):
+    return nb.both_ways(b.points(spark, d), "dep", "uav", want=list(want))
 
 
 def _dep(spark, d):
@@ -58,7 +58,7 @@ def cross_nearest(spark, d):
 
 @query("one_sided_distance", f"""with {POINTS}, {NN} select tile_id, side, {r('avg(d2)', 'mean_d2')} from nn group by 1, 2""")
 def one_sided_distance(spark, d):
-    return m.one_sided(_nn(spark, d))
+    return m.one_sided(_nn(spark, d, "d2"))
 
 
 @query("repulsion", f"""with {POINTS}, {_knn(5)}
@@ -67,6 +67,7 @@ def repulsion(spark, d):
     return nb.repulsion(_dep(spark, d), 5, 0.9)
 
 
+_ENDS = ["x", "y", "z", "n_x", "n_y", "n_z"]
 _GRAPHS = """g as (select 'tile_' || cast(l_suppkey as varchar) as tile_id, cast(l_linenumber * 2 as int) as k, l_orderkey as src, l_partkey as dst
   from lineitem)"""
 
@@ -101,18 +102,18 @@ def patch_transfer(spark, d):
 @query("chamfer_squared", f"""with {POINTS}, {NN}, s as (select tile_id, side, avg(d2) as v from nn group by 1, 2)
 select tile_id, {r('sum(v)', 'chamfer_distance')} from s group by 1""")
 def chamfer_squared(spark, d):
-    return m.chamfer_squared(_nn(spark, d))
+    return m.chamfer_squared(_nn(spark, d, "d2"))
 
 
 @query("chamfer_euclidean", f"""with {POINTS}, {NN}, s as (select tile_id, side, avg(sqrt(d2)) as v from nn group by 1, 2)
 select tile_id, {r('sum(v)', 'chamfer_l2')} from s group by 1""")
 def chamfer_euclidean(spark, d):
-    return m.chamfer_euclidean(_nn(spark, d))
+    return m.chamfer_euclidean(_nn(spark, d, "d2"))
 
 
 @query("hausdorff", f"""with {POINTS}, {NN} select tile_id, {r('sqrt(max(d2))', 'hausdorff')} from nn group by 1""")
 def hausdorff(spark, d):
-    return m.hausdorff(_nn(spark, d))
+    return m.hausdorff(_nn(spark, d, "d2"))
 
 
 def _trim_sql(dist: str, ta: float, tb: float) -> str:
@@ -147,10 +148,10 @@ cs as (select nn.tile_id, side, 1 - abs((p.a * q.a + p.c * q.c + p.e * q.e) / (s
   from nn join nv p on p.tile_id = nn.tile_id and p.pid = nn.pid join nv q on q.tile_id = nn.tile_id and q.pid = nn.n_pid),
 s as (select tile_id, side, avg(v) as v from cs group by 1, 2) select tile_id, {r('sum(v)', 'normals')} from s group by 1""")
 def normals_distance(spark, d):
-    normals = b.points(spark, d).selectExpr(
-        "tile_id", "pid", "sin(pid % 97) as nx", "cos(pid % 89) as ny", "sin(pid % 83) + 0.1D as nz"
-    )
-    return m.normals_distance(_nn(spark, d), normals)
+    normals = b.points(spark, d).selectExpr("*", "sin(pid % 97) as nx", "cos(pid % 89) as ny", "sin(pid % 83) + 0.1D as nz")
+    axes = ["nx", "ny", "nz"]
+    want = [*axes, *[f"n_{c}" for c in axes]]
+    return m.normals_distance(nb.both_ways(normals, "dep", "uav", want=want, carry=axes))
 
 
 @query("density_aware_chamfer", f"""with {POINTS}, {NN}, {CNT},
@@ -162,14 +163,14 @@ def density_aware_chamfer(spark, d):
     counts = b.points(spark, d).groupBy("tile_id").agg(
         F.count(F.when(F.col("cloud") == "dep", 1)).alias("n_a"), F.count(F.when(F.col("cloud") == "uav", 1)).alias("n_b")
     )
-    return m.density_aware(_nn(spark, d), counts)
+    return m.density_aware(_nn(spark, d, "d2", "n_shared"), counts)
 
 
 @query("info_chamfer", f"""with {POINTS}, {NN}, {CNT},
 s as (select tile_id, side, sum({_L1}) / (0.3 * count(*)) as cd, ln(sum(exp(-({_L1}) / 0.3))) as lse from nn group by 1, 2)
 select tile_id, {r('sum(cd) + sum(3.0 / n_b * lse)', 'infocd')} from s join cnt using (tile_id) group by 1""")
 def info_chamfer(spark, d):
-    return m.info_chamfer(_nn(spark, d))
+    return m.info_chamfer(_nn(spark, d, *_ENDS))
 
 
 @query("improvement_ratio", f"""with {EVAL}

@@ -114,14 +114,20 @@ def general_chamfer(nn: DataFrame, weights: DataFrame | None = None, batch: str
     return total.agg(F.sum("v").alias("chamfer"))
 
 
-def normals_distance(nn: DataFrame, normals: DataFrame, eps: float = 1e-8) -> DataFrame:
+def normals_distance(nn: DataFrame, normals: DataFrame | None = None, eps: float = 1e-8) -> DataFrame:
     """M3's normals part: mean of 1 - |cos| between a point's and its neighbour's normal, sides added.
 
-    ``normals`` has tile_id, pid and nx, ny, nz, one row per (tile_id, pid).
+    ``normals`` has tile_id, pid and nx, ny, nz, one row per (tile_id, pid). Without it ``nn`` carries them:
+    nx, ny, nz of the point and n_nx, n_ny, n_nz of its neighbour.
     """
+    if normals is None:
+        return _normals(nn.select(*SIDE, *[F.col(f"n{c}").alias(f"_a{c}") for c in "xyz"], *[F.col(f"n_n{c}").alias(f"_b{c}") for c in "xyz"]), eps)
     own = normals.select("tile_id", "pid", *[F.col(f"n{c}").alias(f"_a{c}") for c in "xyz"])
     other = normals.select("tile_id", F.col("pid").alias("n_pid"), *[F.col(f"n{c}").alias(f"_b{c}") for c in "xyz"])
-    both = nn.join(own, ["tile_id", "pid"]).join(other, ["tile_id", "n_pid"])
+    return _normals(nn.join(own, ["tile_id", "pid"]).join(other, ["tile_id", "n_pid"]), eps)
+
+
+def _normals(both: DataFrame, eps: float) -> DataFrame:
     dot = sum((F.col(f"_a{c}") * F.col(f"_b{c}") for c in "yz"), F.col("_ax") * F.col("_bx"))
     size = lambda t: F.sqrt(sum((F.pow(F.col(f"_{t}{c}"), 2) for c in "yz"), F.pow(F.col(f"_{t}x"), 2)))
     cosine = dot / (F.greatest(size("a"), F.lit(eps)) * F.greatest(size("b"), F.lit(eps)))
@@ -135,12 +141,17 @@ def density_aware(
     """M5: nearest distances discounted where many points share one match.
 
     ``counts`` has tile_id, n_a and n_b (0 for an empty cloud). A side whose own
-    cloud is empty while the other is not costs 1; with both empty it is 0.
+    cloud is empty while the other is not costs 1; with both empty it is 0. Where ``nn`` has ``n_shared``
+    (see :func:`tileloom.operators.neighbors.both_ways`), no match is counted again.
     """
-    match = ["tile_id", "side", "n_pid", "n_x", "n_y", "n_z"]
-    # All points with the same match share its count, so one row per match is enough.
     soft = F.exp(-F.lit(alpha) * F.sqrt(F.greatest(F.col("d2"), F.lit(eps))))
-    groups = nn.groupBy(*match).agg(F.count(F.lit(1)).alias("_q"), F.sum(soft).alias("_e"))
+    if "n_shared" in nn.columns:
+        # All points of a side whose matches are shared by as many have one factor.
+        groups = nn.groupBy(*SIDE, F.col("n_shared").alias("_q")).agg(F.sum(soft).alias("_e"))
+    else:
+        # All points with the same match share its count, so one row per match is enough.
+        match = ["tile_id", "side", "n_pid", "n_x", "n_y", "n_z"]
+        groups = nn.groupBy(*match).agg(F.count(F.lit(1)).alias("_q"), F.sum(soft).alias("_e"))
     joined = groups.join(counts, "tile_id")
     own = F.when(F.col("side") == "ab", F.col("n_a")).otherwise(F.col("n_b")).cast("double")
     other = F.when(F.col("side") == "ab", F.col("n_b")).otherwise(F.col("n_a")).cast("double")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tileloom.operators.ranks import spare
 from tileloom.session import cut_lineage
@@ -34,6 +34,8 @@ LEAVES_COMPARED = 32
 BLOCK, WIDEST = 1 << 14, 1e100
 #: Rows of both sides that one call of that comparison gets, in expectation: many groups of few points.
 ROWS_MET = 1 << 15
+#: Rows of a partition of tiles whose both directions are compared by one call, in expectation.
+ROWS_DEALT = 1 << 16
 
 
 def _frames(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -279,6 +281,86 @@ def _compared(
     return a.groupBy(at).cogroup(b.groupBy(at)).applyInArrow(compare, schema)
 
 
+def _best_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``a`` the nearest of ``b`` and the squared distance, then the other way; ties to the earlier row."""
+    step = max(1, BLOCK // len(b))
+    whole, part = np.empty((min(step, len(a)), len(b))), np.empty((min(step, len(a)), len(b)))
+    of_b = np.ascontiguousarray(b.T)
+    pick_a, least_a = np.empty(len(a), np.int64), np.empty(len(a))
+    pick_b, least_b = np.zeros(len(b), np.int64), np.full(len(b), np.inf)
+    for start in range(0, len(a), step):
+        rows = a[start : start + step]
+        d2, gap = whole[: len(rows)], part[: len(rows)]
+        for c, out in enumerate((d2, gap, gap)):
+            np.subtract(rows[:, c, None], of_b[c], out=out)
+            np.multiply(out, out, out=out)
+            if c:
+                np.add(d2, gap, out=d2)
+        near = d2.argmin(axis=1)
+        pick_a[start : start + step], least_a[start : start + step] = near, d2[np.arange(len(rows)), near]
+        least = d2.min(axis=0)
+        closer = np.flatnonzero(least < least_b)
+        pick_b[closer], least_b[closer] = start + d2[:, closer].argmin(axis=0), least[closer]
+    return pick_a, least_a, pick_b, least_b
+
+
+def _compared_both(points: DataFrame, a: str, carry: list[str], rows: int, want: list[str]) -> DataFrame:
+    """:func:`both_ways` for tiles of few points: both clouds of many tiles travel once and share a call,
+    and a tile's distances serve both directions. Only the columns ``want`` are made."""
+    kept = points.where(" and ".join(f"`{n}` is not null" for n in ("tile_id", *AXES)))
+    (mine,) = spare(points, "_mine")
+    kept = kept.select(
+        *[(F.col(c) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in kept.select("tile_id", "pid", *AXES).dtypes],
+        *carry, (F.col("cloud") == a).alias(mine),
+    )
+    own = ["tile_id", "pid", *AXES, *carry]
+    near = [n for n in own if n != "tile_id"]
+    fields = [kept.schema[n] for n in own] + [StructField(f"n_{n}", kept.schema[n].dataType) for n in near]
+    fields += [StructField("side", StringType()), StructField("d2", DoubleType()), StructField("n_shared", LongType())]
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        spots = np.column_stack([table[c].to_numpy() for c in AXES])
+        (pid,), side = _numbers(table["pid"]), table[mine].to_numpy()
+        code = _codes([table["tile_id"]], [table["tile_id"].slice(0, 0)])[0]
+        cloud = 2 * code + ~side
+        order = np.lexsort((spots[:, 0], cloud))
+        # Only points that share a cloud and an x need the other keys.
+        same = (cloud[order][1:] == cloud[order][:-1]) & (spots[order, 0][1:] == spots[order, 0][:-1])
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        some = order[tied]
+        order[tied] = some[np.lexsort((pid[some], *(spots[some, c] for c in (2, 1, 0)), cloud[some]))]
+        # Equal points count once.
+        keys = np.column_stack([spots[order], code[order], side[order]])
+        again = (keys[1:] == keys[:-1]).all(axis=1) & (pid[order][1:] == pid[order][:-1])
+        order = order[np.concatenate([[True], ~again])]
+        code, side, spots = code[order], side[order], spots[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]])
+        found = []
+        for begin, end in zip(starts[:-1], starts[1:]):
+            middle = begin + int(side[begin:end].sum())
+            if begin < middle < end:
+                pick_a, least_a, pick_b, least_b = _best_both(spots[begin:middle], spots[middle:end])
+                shared = np.bincount(pick_a, minlength=end - middle)[pick_a], np.bincount(pick_b, minlength=middle - begin)[pick_b]
+                found.append((np.arange(begin, end), np.concatenate([middle + pick_a, begin + pick_b]),
+                              np.concatenate([least_a, least_b]), np.concatenate(shared)))
+        if found:
+            row, other, d2, shared = (np.concatenate(part) for part in zip(*found))
+        else:
+            row, other, d2, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        met, theirs = pa.array(order[row]), pa.array(order[other])
+        made = {n: lambda n=n: table[n].take(met) for n in own} | {f"n_{n}": lambda n=n: table[n].take(theirs) for n in near}
+        made |= {"d2": lambda: pa.array(d2), "n_shared": lambda: pa.array(shared)}
+        made["side"] = lambda: pa.array(["ba", "ab"]).take(pa.array(side[row].astype(np.int8)))
+        return pa.table({n: made[n]() for n in want})
+
+    kinds = {f.name: f.dataType for f in fields}
+    # One call a partition, whose number grows with the rows.
+    calls = lambda batches: (batch for table in [list(batches)] if table for batch in compare(pa.Table.from_batches(table)).to_batches())
+    dealt = kept.repartition(max(1, math.ceil(rows / ROWS_DEALT)), "tile_id")
+    return dealt.mapInArrow(calls, StructType([StructField(n, kinds[n]) for n in want]))
+
+
 def _descended(
     queries: DataFrame, targets: DataFrame, frames: DataFrame, k: int, group: list[str], exclude_self: bool, leaf: int
 ) -> DataFrame:
@@ -380,13 +462,55 @@ def cross_nearest(points: DataFrame, a: str, b: str, leaf: int = LEAF) -> DataFr
     return nearest(left, right, leaf=leaf)
 
 
-def both_ways(points: DataFrame, a: str, b: str, leaf: int = LEAF) -> DataFrame:
-    """K3 in both directions, in one pass: ``side`` is 'ab' (points of a) or 'ba'."""
-    base = points.select("tile_id", "cloud", "pid", *AXES).where(F.col("cloud").isin(a, b))
+def both_ways(
+    points: DataFrame, a: str, b: str, leaf: int = LEAF, want: list[str] | None = None, carry: list[str] | None = None
+) -> DataFrame:
+    """K3 in both directions, in one pass: ``side`` is 'ab' (points of a) or 'ba'.
+
+    ``want`` names the columns returned beside tile_id and side, all by default; a caller that names the few it
+    reads moves less. Besides those of :func:`nearest` there is ``n_shared``, the number of points of the side with
+    the same nearest point. The columns ``carry`` of a point go along, those of its neighbour as ``n_<name>``; they
+    must be the same in equal points (tile_id, cloud, pid, x, y, z).
+    """
+    carry = carry or []
+    base = points.select("tile_id", "cloud", "pid", *AXES, *carry).where(F.col("cloud").isin(a, b))
     mine = F.col("cloud") == a
-    asks = base.withColumn("side", F.when(mine, F.lit("ab")).otherwise(F.lit("ba"))).drop("cloud")
-    answers = base.withColumn("side", F.when(mine, F.lit("ba")).otherwise(F.lit("ab"))).drop("cloud")
-    return nearest(asks, answers, group=["tile_id", "side"], leaf=leaf)
+    names = want or ["pid", *AXES, "d2", *[f"n_{c}" for c in (*AXES, "pid")], *carry, *[f"n_{c}" for c in carry]]
+    want = ["tile_id", "side", *names] if want else ["tile_id", *names[:4], "side", *names[4:]]
+
+    def by_sides(some: DataFrame) -> DataFrame:
+        asks = some.withColumn("side", F.when(mine, F.lit("ab")).otherwise(F.lit("ba"))).drop("cloud")
+        answers = some.withColumn("side", F.when(mine, F.lit("ba")).otherwise(F.lit("ab"))).drop("cloud", *carry)
+        found = nearest(asks, answers, group=["tile_id", "side"], leaf=leaf)
+        if carry:
+            spot = ["tile_id", "side", *[f"n_{c}" for c in (*AXES, "pid")]]
+            other = F.when(mine, F.lit("ba")).otherwise(F.lit("ab"))
+            theirs = some.select("tile_id", other.alias("side"), *[F.col(c).alias(f"n_{c}") for c in (*AXES, "pid", *carry)])
+            found = found.join(theirs.dropDuplicates(spot), spot)
+        if "n_shared" in want:
+            match = ["tile_id", "side", *[f"n_{c}" for c in (*AXES, "pid")]]
+            found = found.join(found.groupBy(*match).agg(F.count(F.lit(1)).alias("n_shared")), match)
+        return found.select(*want)
+
+    if {t for n, t in base.dtypes if n in AXES} != {"double"}:
+        return by_sides(base)
+    side = F.greatest(*[F.max(c) - F.min(c) for c in AXES])
+    n_a, n_b = F.count(F.when(mine, 1)), F.count(F.when(~mine, 1))
+    few = (F.greatest(n_a, n_b) <= LEAVES_COMPARED * leaf) & (F.coalesce(side, F.lit(0.0)) < WIDEST)
+    # A tile with one cloud has no neighbours.
+    tiles = base.groupBy("tile_id").agg(few.alias("_few"), (n_a + n_b).alias("_n"), (F.least(n_a, n_b) > 0).alias("_both"))
+    tiles = cut_lineage(tiles.where("_both").drop("_both"))
+    sorts = tiles.agg(
+        F.count(F.when(F.col("_few"), 1)).alias("few"), F.count(F.when(~F.col("_few"), 1)).alias("many"),
+        F.coalesce(F.sum(F.when(F.col("_few"), F.col("_n"))), F.lit(0)).alias("rows"),
+    ).first()
+    if not sorts["many"]:
+        return _compared_both(base, a, carry, sorts["rows"], want)
+    if not sorts["few"]:
+        return by_sides(base)
+    of = lambda some: base.join(tiles.where(some).select("tile_id"), "tile_id", "left_semi").select(base.columns)
+    met = _compared_both(of(F.col("_few")), a, carry, sorts["rows"], want)
+    return met.unionByName(by_sides(of(~F.col("_few"))))
 
 
 def knn_graph(points: DataFrame, k: int = 16, count_self: bool = False) -> DataFrame:
