@@ -24,9 +24,51 @@ def _two_sides(per_side: DataFrame, value: str, combine: Callable[[Column, Colum
     return wide.select("tile_id", combine(F.col("_ab"), F.col("_ba")).alias(out))
 
 
+def _soft(alpha: float, eps: float) -> Column:
+    return F.exp(-F.lit(alpha) * F.sqrt(F.greatest(F.col("d2"), F.lit(eps))))
+
+
+def _stepped(nn: DataFrame, tau: float) -> DataFrame:
+    """``nn`` with the Manhattan distance as ``d``, the exponent ``_x`` and the step ``_s`` it lies in."""
+    d = F.col("d1") if "d1" in nn.columns else _manhattan()
+    rows = nn.withColumn("d", d).withColumn("_x", F.col("d") / F.lit(float(tau)))
+    return rows.withColumn("_s", F.floor(F.col("_x") / F.lit(STEP)))
+
+
+def _shifted_term() -> Column:
+    return F.exp(F.col("_s") * F.lit(STEP) - F.col("_x"))
+
+
+def _of(name: str, *options: float) -> str:
+    """The sum's column, which tells the options it was made with."""
+    return "_".join([name, *[repr(float(o)).replace(".", "p") for o in options]])
+
+
+def match_sums(
+    nn: DataFrame, group: list[str] = SIDE, alpha: float = 1.0, eps: float = 1e-12, tau: float = 0.3
+) -> DataFrame:
+    """What M1, M5 and M6 sum over the points, in one pass: a row per group, ``n_shared`` and step of the exponent.
+
+    :func:`chamfer_squared`, :func:`density_aware` and :func:`info_chamfer` take this small table in place of
+    the points' rows, with the same ``alpha``, ``eps`` and ``tau``. ``nn`` has ``n_shared``.
+    """
+    return _stepped(nn, tau).groupBy(*group, "n_shared", "_s").agg(
+        F.count(F.lit(1)).alias("_points"), F.sum("d2").alias("_d2"), F.sum(_soft(alpha, eps)).alias(_of("_soft", alpha, eps)),
+        F.sum("d").alias("_d"), F.sum(_shifted_term()).alias(_of("_term", tau)),
+    )
+
+
+def side_counts(nn: DataFrame) -> DataFrame:
+    """The points of either cloud of a tile, n_a and n_b, told by their rows or sums."""
+    points = (lambda s: F.sum(F.when(F.col("side") == s, F.col("_points")).otherwise(0))) if "_points" in nn.columns else (
+        lambda s: F.count(F.when(F.col("side") == s, 1)))
+    return nn.groupBy("tile_id").agg(points("ab").alias("n_a"), points("ba").alias("n_b"))
+
+
 def one_sided(nn: DataFrame) -> DataFrame:
     """K4: mean squared nearest distance per side."""
-    return nn.groupBy(*SIDE).agg(F.avg("d2").alias("mean_d2"))
+    mean = F.sum("_d2") / F.sum("_points") if "_points" in nn.columns else F.avg("d2")
+    return nn.groupBy(*SIDE).agg(mean.alias("mean_d2"))
 
 
 def chamfer_squared(nn: DataFrame, out: str = "chamfer_distance") -> DataFrame:
@@ -144,7 +186,7 @@ def density_aware(
     cloud is empty while the other is not costs 1; with both empty it is 0. Where ``nn`` has ``n_shared``
     (see :func:`tileloom.operators.neighbors.both_ways`), no match is counted again.
     """
-    soft = F.exp(-F.lit(alpha) * F.sqrt(F.greatest(F.col("d2"), F.lit(eps))))
+    soft = F.col(_of("_soft", alpha, eps)) if "_points" in nn.columns else _soft(alpha, eps)
     if "n_shared" in nn.columns:
         # All points of a side whose matches are shared by as many have one factor.
         groups = nn.groupBy(*SIDE, F.col("n_shared").alias("_q")).agg(F.sum(soft).alias("_e"))
@@ -184,12 +226,11 @@ def info_chamfer(nn: DataFrame, tau: float = 0.3, lam: float | None = None, lam_
     the other cloud. Exponents are shifted by whole steps of ``STEP`` and summed per step, so that no
     term of the sum is lost and the neighbours are read once.
     """
-    rows = nn.select(*SIDE, _manhattan().alias("d")).withColumn("_x", F.col("d") / F.lit(float(tau)))
-    rows = rows.withColumn("_s", F.floor(F.col("_x") / F.lit(STEP)))
-    steps = rows.groupBy(*SIDE, "_s").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("d").alias("_d"),
-        F.sum(F.exp(F.col("_s") * F.lit(STEP) - F.col("_x"))).alias("_e"),
-    )
+    if "_points" in nn.columns:
+        rows, n, term, d = nn, F.sum("_points"), F.col(_of("_term", tau)), F.col("_d")
+    else:
+        rows, n, term, d = _stepped(nn, tau), F.count(F.lit(1)), _shifted_term(), F.col("d")
+    steps = rows.groupBy(*SIDE, "_s").agg(n.alias("n"), F.sum(d).alias("_d"), F.sum(term).alias("_e"))
     steps = steps.withColumn("_m", F.min("_s").over(Window.partitionBy(*SIDE)))
     sums = steps.groupBy(*SIDE).agg(
         F.sum("n").alias("n"), F.sum("_d").alias("_d"), F.max("_m").alias("_m"),

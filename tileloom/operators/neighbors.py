@@ -304,26 +304,31 @@ def _best_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return pick_a, least_a, pick_b, least_b
 
 
-def _compared_both(points: DataFrame, a: str, carry: list[str], rows: int, want: list[str]) -> DataFrame:
-    """:func:`both_ways` for tiles of few points: both clouds of many tiles travel once and share a call,
-    and a tile's distances serve both directions. Only the columns ``want`` are made."""
+def _compared_both(points: DataFrame, models: list[str], carry: list[str], rows: int, want: list[str]) -> DataFrame:
+    """:func:`both_ways` for tiles of few points: all clouds of many tiles travel once and share a call,
+    and a pair of clouds' distances serve both directions. Only the columns ``want`` are made."""
     kept = points.where(" and ".join(f"`{n}` is not null" for n in ("tile_id", *AXES)))
-    (mine,) = spare(points, "_mine")
+    (which,) = spare(points, "_which")
+    # A cloud is its place among the models; the cloud that all are compared with comes last.
+    place = F.lit(len(models))
+    for i, m in enumerate(models):
+        place = F.when(F.col("cloud") == m, F.lit(i)).otherwise(place)
     kept = kept.select(
         *[(F.col(c) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in kept.select("tile_id", "pid", *AXES).dtypes],
-        *carry, (F.col("cloud") == a).alias(mine),
+        *carry, place.cast("int").alias(which),
     )
     own = ["tile_id", "pid", *AXES, *carry]
     near = [n for n in own if n != "tile_id"]
     fields = [kept.schema[n] for n in own] + [StructField(f"n_{n}", kept.schema[n].dataType) for n in near]
     fields += [StructField("side", StringType()), StructField("d2", DoubleType()), StructField("n_shared", LongType())]
+    fields += [StructField("cloud", StringType()), StructField("d1", DoubleType())]
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         spots = np.column_stack([table[c].to_numpy() for c in AXES])
-        (pid,), side = _numbers(table["pid"]), table[mine].to_numpy()
+        (pid,), kind = _numbers(table["pid"]), table[which].to_numpy().astype(np.int64)
         code = _codes([table["tile_id"]], [table["tile_id"].slice(0, 0)])[0]
-        cloud = 2 * code + ~side
+        cloud = (len(models) + 1) * code + kind
         order = np.lexsort((spots[:, 0], cloud))
         # Only points that share a cloud and an x need the other keys.
         same = (cloud[order][1:] == cloud[order][:-1]) & (spots[order, 0][1:] == spots[order, 0][:-1])
@@ -331,27 +336,33 @@ def _compared_both(points: DataFrame, a: str, carry: list[str], rows: int, want:
         some = order[tied]
         order[tied] = some[np.lexsort((pid[some], *(spots[some, c] for c in (2, 1, 0)), cloud[some]))]
         # Equal points count once.
-        keys = np.column_stack([spots[order], code[order], side[order]])
+        keys = np.column_stack([spots[order], cloud[order]])
         again = (keys[1:] == keys[:-1]).all(axis=1) & (pid[order][1:] == pid[order][:-1])
         order = order[np.concatenate([[True], ~again])]
-        code, side, spots = code[order], side[order], spots[order]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]])
+        cloud, spots = cloud[order], spots[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(cloud)) + 1, [len(cloud)]])
+        held = dict(zip(cloud[starts[:-1]].tolist(), zip(starts[:-1].tolist(), starts[1:].tolist())))
         found = []
-        for begin, end in zip(starts[:-1], starts[1:]):
-            middle = begin + int(side[begin:end].sum())
-            if begin < middle < end:
-                pick_a, least_a, pick_b, least_b = _best_both(spots[begin:middle], spots[middle:end])
-                shared = np.bincount(pick_a, minlength=end - middle)[pick_a], np.bincount(pick_b, minlength=middle - begin)[pick_b]
-                found.append((np.arange(begin, end), np.concatenate([middle + pick_a, begin + pick_b]),
-                              np.concatenate([least_a, least_b]), np.concatenate(shared)))
+        for at, (a0, a1) in held.items():
+            tile, model = divmod(at, len(models) + 1)
+            b0, b1 = held.get((tile + 1) * (len(models) + 1) - 1, (0, 0))
+            if model < len(models) and b0 < b1:
+                pick_a, least_a, pick_b, least_b = _best_both(spots[a0:a1], spots[b0:b1])
+                shared = np.bincount(pick_a, minlength=b1 - b0)[pick_a], np.bincount(pick_b, minlength=a1 - a0)[pick_b]
+                found.append((np.concatenate([np.arange(a0, a1), np.arange(b0, b1)]), np.concatenate([b0 + pick_a, a0 + pick_b]),
+                              np.concatenate([least_a, least_b]), np.concatenate(shared),
+                              np.repeat([1, 0], [a1 - a0, b1 - b0]), np.full(a1 - a0 + b1 - b0, model)))
         if found:
-            row, other, d2, shared = (np.concatenate(part) for part in zip(*found))
+            row, other, d2, shared, ahead, model = (np.concatenate(part) for part in zip(*found))
         else:
-            row, other, d2, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+            row, other, shared, ahead, model = (np.zeros(0, np.int64) for _ in range(5))
+            d2 = np.zeros(0)
         met, theirs = pa.array(order[row]), pa.array(order[other])
         made = {n: lambda n=n: table[n].take(met) for n in own} | {f"n_{n}": lambda n=n: table[n].take(theirs) for n in near}
-        made |= {"d2": lambda: pa.array(d2), "n_shared": lambda: pa.array(shared)}
-        made["side"] = lambda: pa.array(["ba", "ab"]).take(pa.array(side[row].astype(np.int8)))
+        made |= {"d2": lambda: pa.array(d2), "n_shared": lambda: pa.array(shared.astype(np.int64))}
+        made["side"] = lambda: pa.array(["ba", "ab"]).take(pa.array(ahead.astype(np.int8)))
+        made["cloud"] = lambda: pa.array(models, pa.string()).take(pa.array(model))
+        made["d1"] = lambda: pa.array(sum((np.abs(spots[row, c] - spots[other, c]) for c in (1, 2)), np.abs(spots[row, 0] - spots[other, 0])))
         return pa.table({n: made[n]() for n in want})
 
     kinds = {f.name: f.dataType for f in fields}
@@ -463,53 +474,61 @@ def cross_nearest(points: DataFrame, a: str, b: str, leaf: int = LEAF) -> DataFr
 
 
 def both_ways(
-    points: DataFrame, a: str, b: str, leaf: int = LEAF, want: list[str] | None = None, carry: list[str] | None = None
+    points: DataFrame, a: str | list[str], b: str, leaf: int = LEAF, want: list[str] | None = None, carry: list[str] | None = None
 ) -> DataFrame:
     """K3 in both directions, in one pass: ``side`` is 'ab' (points of a) or 'ba'.
 
     ``want`` names the columns returned beside tile_id and side, all by default; a caller that names the few it
-    reads moves less. Besides those of :func:`nearest` there is ``n_shared``, the number of points of the side with
-    the same nearest point. The columns ``carry`` of a point go along, those of its neighbour as ``n_<name>``; they
-    must be the same in equal points (tile_id, cloud, pid, x, y, z).
+    reads moves less. Besides those of :func:`nearest` there are ``n_shared``, the number of points of the side with
+    the same nearest point, and ``d1``, the Manhattan distance to it. The columns ``carry`` of a point go along, those
+    of its neighbour as ``n_<name>``; they must be the same in equal points (tile_id, cloud, pid, x, y, z).
+    With a list of clouds ``a`` each of them is compared with ``b``, and ``cloud`` names the one of a row; the points of
+    ``b`` travel once for all of them.
     """
     carry = carry or []
-    base = points.select("tile_id", "cloud", "pid", *AXES, *carry).where(F.col("cloud").isin(a, b))
-    mine = F.col("cloud") == a
+    models = [a] if isinstance(a, str) else list(dict.fromkeys(a))
+    key = ["tile_id", "side"] if isinstance(a, str) else ["tile_id", "cloud", "side"]
+    base = points.select("tile_id", "cloud", "pid", *AXES, *carry).where(F.col("cloud").isin(*models, b))
+    mine = F.col("cloud").isin(models)
     names = want or ["pid", *AXES, "d2", *[f"n_{c}" for c in (*AXES, "pid")], *carry, *[f"n_{c}" for c in carry]]
-    want = ["tile_id", "side", *names] if want else ["tile_id", *names[:4], "side", *names[4:]]
+    want = [*key, *names] if want else [*key[:-1], *names[:4], "side", *names[4:]]
 
     def by_sides(some: DataFrame) -> DataFrame:
-        asks = some.withColumn("side", F.when(mine, F.lit("ab")).otherwise(F.lit("ba"))).drop("cloud")
-        answers = some.withColumn("side", F.when(mine, F.lit("ba")).otherwise(F.lit("ab"))).drop("cloud", *carry)
-        found = nearest(asks, answers, group=["tile_id", "side"], leaf=leaf)
+        every = F.explode(F.array(*[F.lit(m) for m in models]))
+        sides = [some.where(mine), some.where(F.col("cloud") == b).withColumn("cloud", every)]
+        both = lambda first, second: sides[0].withColumn("side", F.lit(first)).unionByName(sides[1].withColumn("side", F.lit(second)))
+        asks, answers = (df if "cloud" in key else df.drop("cloud") for df in (both("ab", "ba"), both("ba", "ab")))
+        found = nearest(asks, answers.drop(*carry), group=key, leaf=leaf)
+        match = [*key, *[f"n_{c}" for c in (*AXES, "pid")]]
         if carry:
-            spot = ["tile_id", "side", *[f"n_{c}" for c in (*AXES, "pid")]]
-            other = F.when(mine, F.lit("ba")).otherwise(F.lit("ab"))
-            theirs = some.select("tile_id", other.alias("side"), *[F.col(c).alias(f"n_{c}") for c in (*AXES, "pid", *carry)])
-            found = found.join(theirs.dropDuplicates(spot), spot)
+            theirs = answers.select(*key, *[F.col(c).alias(f"n_{c}") for c in (*AXES, "pid", *carry)])
+            found = found.join(theirs.dropDuplicates(match), match)
         if "n_shared" in want:
-            match = ["tile_id", "side", *[f"n_{c}" for c in (*AXES, "pid")]]
             found = found.join(found.groupBy(*match).agg(F.count(F.lit(1)).alias("n_shared")), match)
+        if "d1" in want:
+            gaps = [F.abs(F.col(c) - F.col(f"n_{c}")) for c in AXES]
+            found = found.withColumn("d1", gaps[0] + gaps[1] + gaps[2])
         return found.select(*want)
 
-    if {t for n, t in base.dtypes if n in AXES} != {"double"}:
+    if {t for n, t in base.dtypes if n in AXES} != {"double"} or b in models:
         return by_sides(base)
     side = F.greatest(*[F.max(c) - F.min(c) for c in AXES])
-    n_a, n_b = F.count(F.when(mine, 1)), F.count(F.when(~mine, 1))
-    few = (F.greatest(n_a, n_b) <= LEAVES_COMPARED * leaf) & (F.coalesce(side, F.lit(0.0)) < WIDEST)
+    sizes = [F.count(F.when(F.col("cloud") == c, 1)) for c in (*models, b)]
+    few = (F.greatest(*sizes) <= LEAVES_COMPARED * leaf) & (F.coalesce(side, F.lit(0.0)) < WIDEST)
     # A tile with one cloud has no neighbours.
-    tiles = base.groupBy("tile_id").agg(few.alias("_few"), (n_a + n_b).alias("_n"), (F.least(n_a, n_b) > 0).alias("_both"))
+    met = (F.count(F.when(mine, 1)) > 0) & (sizes[-1] > 0)
+    tiles = base.groupBy("tile_id").agg(few.alias("_few"), F.count(F.lit(1)).alias("_n"), met.alias("_both"))
     tiles = cut_lineage(tiles.where("_both").drop("_both"))
     sorts = tiles.agg(
         F.count(F.when(F.col("_few"), 1)).alias("few"), F.count(F.when(~F.col("_few"), 1)).alias("many"),
         F.coalesce(F.sum(F.when(F.col("_few"), F.col("_n"))), F.lit(0)).alias("rows"),
     ).first()
     if not sorts["many"]:
-        return _compared_both(base, a, carry, sorts["rows"], want)
+        return _compared_both(base, models, carry, sorts["rows"], want)
     if not sorts["few"]:
         return by_sides(base)
     of = lambda some: base.join(tiles.where(some).select("tile_id"), "tile_id", "left_semi").select(base.columns)
-    met = _compared_both(of(F.col("_few")), a, carry, sorts["rows"], want)
+    met = _compared_both(of(F.col("_few")), models, carry, sorts["rows"], want)
     return met.unionByName(by_sides(of(~F.col("_few"))))
 
 

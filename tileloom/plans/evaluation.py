@@ -5,37 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tileloom.operators import canopy, metrics
-from tileloom.operators.neighbors import nearest
+from tileloom.operators.neighbors import both_ways
 from tileloom.operators.report import samples_by_model
-from tileloom.session import cut_lineage
+from tileloom.session import written
 
-AXES = ("x", "y", "z")
 METRICS = ["chamfer_distance", "dcd", "infocd", "point_count"]
 
 
 def model_distances(points: DataFrame, truth: str, models: list[str]) -> DataFrame:
     """M1, M5 and M6 of every model cloud against the truth, in long form.
 
-    All models share one nearest-neighbour pass; its table is written once and read
-    by the three aggregates.
+    All models share one nearest-neighbour pass, in which a tile's points travel once. What the three metrics
+    sum is taken from its rows as they come; only these sums are written.
     """
-    base = points.select("tile_id", "cloud", "pid", *AXES)
-    pred = base.where(F.col("cloud").isin(models)).withColumnRenamed("cloud", "model")
-    names = F.array(*[F.lit(m) for m in models])
-    gt = base.where(F.col("cloud") == truth).drop("cloud").withColumn("model", F.explode(names))
+    nn = both_ways(points, models, truth, want=["d2", "d1", "n_shared"])
     # Tile and model are one key as JSON, which tells them apart whatever signs an id has.
-    side = lambda df, s: df.select(F.to_json(F.struct("tile_id", "model")).alias("tile_id"), F.lit(s).alias("side"), "pid", *AXES)
-    nn = cut_lineage(nearest(
-        side(pred, "ab").unionByName(side(gt, "ba")), side(gt, "ab").unionByName(side(pred, "ba")),
-        group=["tile_id", "side"],
-    ))
-    counts = nn.groupBy("tile_id").agg(
-        F.count(F.when(F.col("side") == "ab", 1)).alias("n_a"), F.count(F.when(F.col("side") == "ba", 1)).alias("n_b")
-    )
+    key = F.to_json(F.struct("tile_id", F.col("cloud").alias("model")))
+    sums = written(metrics.match_sums(nn, ["tile_id", "cloud", "side"])).withColumn("tile_id", key).drop("cloud")
+    counts = metrics.side_counts(sums)
     found = (
-        metrics.chamfer_squared(nn)
-        .join(metrics.density_aware(nn, counts), "tile_id")
-        .join(metrics.info_chamfer(nn), "tile_id")
+        metrics.chamfer_squared(sums)
+        .join(metrics.density_aware(sums, counts), "tile_id")
+        .join(metrics.info_chamfer(sums), "tile_id")
         .join(counts, "tile_id")
     )
     values = F.array(*[
