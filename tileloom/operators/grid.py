@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tileloom.operators.ranks import HOT_GROUP_ROWS, has_hot_group, named_percentiles, percentiles, width_bucket
+from tileloom.operators.ranks import HOT_GROUP_ROWS, has_hot_group, named_percentiles, percentiles
 from tileloom.operators.spatial import in_box
 
 CELL = ["tile_id", "row", "col"]
@@ -523,22 +526,39 @@ def covered_windows(pixels: DataFrame, size: int, nodata: float = 0.0) -> DataFr
     return windows.where(F.col("_n") == size * size).select("tile_id", "wr", "wc")
 
 
-def convex_hull(points: DataFrame, rounds: int = 2, rows_per_strip: int = 100_000) -> DataFrame:
+def convex_hull(points: DataFrame, rows_per_strip: int = 1 << 18) -> DataFrame:
     """Hull vertices per cloud, counter-clockwise from the leftmost lowest one.
 
-    Exact, without sampling. Only the lowest and highest point of each x can be a
-    vertex (a partial aggregate). A vertex of the whole is also a vertex of its
-    strip of x values, so every round replaces a strip of at most about
-    ``rows_per_strip`` points by its few hull vertices; the strips follow the row
-    count, so a giant tile has many. The last step merges what is left per tile.
+    Exact, without sampling. A vertex of the whole is also a vertex of any part that holds it, so
+    ``rows_per_strip`` rows at a time are replaced by the vertices of their clouds' parts where they lie. Only
+    these travel; a cloud's are merged in the same way, as they come, so that no call holds a giant tile.
     """
-    schema = "tile_id string, ix int, x double, y double"
-    ends = points.groupBy("tile_id", "x").agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"))
-    left = ends.select("tile_id", "x", F.explode(F.array("_lo", "_hi")).alias("y"))
-    for _ in range(rounds):
-        strips = width_bucket(left, ["tile_id"], "x", "_s", rows_per_strip)
-        left = strips.groupBy("tile_id", "_s").applyInPandas(_hull_frame, schema)
-    return left.groupBy("tile_id").applyInPandas(_hull_frame, schema)
+    kind = points.schema["tile_id"].dataType.simpleString()
+    spots = points.select("tile_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y")])
+    spots = spots.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    parts = spots.mapInArrow(lambda batches: _hulls(batches, rows_per_strip, False), f"tile_id {kind}, x double, y double")
+    return parts.repartition("tile_id").mapInArrow(
+        lambda batches: _hulls(batches, rows_per_strip, True), f"tile_id {kind}, ix int, x double, y double"
+    )
+
+
+def _hulls(batches, most: int, last: bool):
+    """The hull vertices of the rows so far, whenever ``most`` have come; ``last``: of all rows, numbered."""
+    held, rows, limit = [], 0, most
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            found = _hull_rows(pa.Table.from_batches(held)).drop_columns("ix")
+            held, rows = found.to_batches(), len(found)
+            if last:
+                limit = max(most, 2 * rows)
+            else:
+                yield from held
+                held, rows = [], 0
+    if rows:
+        found = _hull_rows(pa.Table.from_batches(held))
+        yield from (found if last else found.drop_columns("ix")).to_batches()
 
 
 #: Turns to the left by less than this (radians) are rounding: points on a line stay on it.
@@ -546,22 +566,67 @@ STRAIGHT = 1e-13
 
 
 def _chain(pts):
-    """One monotone chain; a point that does not turn left is dropped."""
+    """One monotone chain of points (x, y, row); a point that does not turn left is dropped."""
     out = []
-    for x, y in pts:
+    for x, y, at in pts:
         while len(out) > 1:
-            (ax, ay), (bx, by) = out[-2:]
+            (ax, ay, _), (bx, by, _) = out[-2:]
             turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
             if turn > STRAIGHT * math.hypot(bx - ax, by - ay) * math.hypot(x - ax, y - ay):
                 break
             out.pop()
-        out.append((x, y))
+        out.append((x, y, at))
     return out
 
 
-def _hull_frame(key, frame):
-    pts = sorted(set(zip(frame["x"].tolist(), frame["y"].tolist())))
-    if len(pts) > 2:
-        pts = _chain(pts)[:-1] + _chain(pts[::-1])[:-1]
-    rows = [(key[0], ix, x, y) for ix, (x, y) in enumerate(pts)]
-    return pd.DataFrame(rows, columns=["tile_id", "ix", "x", "y"])
+#: Directions of the points that bound a cloud from within; what lies inside of them by this share of its extent is no vertex.
+AROUND = [(math.cos(k * math.pi / 8), math.sin(k * math.pi / 8)) for k in range(16)]
+INSIDE = 1e-9
+
+
+def _hull_rows(table: pa.Table) -> pa.Table:
+    """tile_id, ix, x, y: the hull vertices of every tile's points."""
+    table = table.combine_chunks()
+    tile = pc.dictionary_encode(table["tile_id"], null_encoding="encode").combine_chunks().indices.to_numpy()
+    x, y = (table[c].to_numpy() for c in ("x", "y"))
+    order = np.lexsort((y, x, tile))
+    new = np.diff(tile[order], prepend=-1) != 0
+    order = order[new | (np.diff(x[order], prepend=np.nan) != 0) | (np.diff(y[order], prepend=np.nan) != 0)]
+    order = order[_may_bound(tile[order], x[order], y[order])]
+    tile, x, y = tile[order], x[order], y[order]
+    starts = np.flatnonzero(np.diff(tile, prepend=-1))
+    at, ix = [], []
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)]):
+        pts = list(zip(x[begin:end].tolist(), y[begin:end].tolist(), range(begin, end)))
+        if len(pts) > 2:
+            pts = _chain(pts)[:-1] + _chain(pts[::-1])[:-1]
+        at += [p[2] for p in pts]
+        ix += range(len(pts))
+    at = np.array(at, np.int64)
+    spots = {"x": pa.array(x[at]), "y": pa.array(y[at])}
+    return pa.table({"tile_id": table["tile_id"].take(pa.array(order[at])), "ix": pa.array(ix, pa.int32()), **spots})
+
+
+def _may_bound(tile: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False for points well inside a polygon of their tile's outermost points; the rows are sorted by tile."""
+    starts = np.flatnonzero(np.diff(tile, prepend=-1))
+    if not len(starts):
+        return np.zeros(0, bool)
+    of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(tile)))
+    corners, kept = [], np.zeros(len(tile), bool)
+    for dx, dy in AROUND:
+        reach = x * dx + y * dy
+        hit = np.flatnonzero(reach == np.maximum.reduceat(reach, starts)[of])
+        corner = starts.copy()
+        corner[of[hit[::-1]]] = hit[::-1]
+        corners.append(corner)
+        kept[corner] = True
+    extent = np.maximum.reduceat(x, starts) - np.minimum.reduceat(x, starts)
+    extent = np.maximum(extent, np.maximum.reduceat(y, starts) - np.minimum.reduceat(y, starts))
+    inside = np.isfinite(extent)[of]
+    for p, q in zip(corners, [*corners[1:], corners[0]]):
+        ex, ey = x[q] - x[p], y[q] - y[p]
+        least = INSIDE * extent * np.hypot(ex, ey)
+        cross = ex[of] * (y - y[p][of]) - ey[of] * (x - x[p][of])
+        inside &= (cross > least[of]) | (p == q)[of]
+    return kept | ~inside
