@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tileloom.session import cut_lineage
+from tileloom.operators.neighbors import _codes, _numbers
+from tileloom.operators.ranks import spare
+from tileloom.session import cut_lineage, written
 
 AXES = ("x", "y", "z")
 #: A tile of at most this many points is searched for its voxel size by one call, which gets about ROWS_MET of many tiles.
@@ -18,6 +21,16 @@ POINTS_SEARCHED, ROWS_MET = 1 << 16, 1 << 16
 WIDEST = 1e9
 
 
+def _even() -> Column:
+    """Whether a tile's coordinates are all there and of a size that voxel numbers stay whole."""
+    there = [F.coalesce(F.max(F.abs(a)) < WIDEST, F.lit(False)) & (F.count(a) == F.count(F.lit(1))) for a in AXES]
+    return there[0] & there[1] & there[2] & F.col("tile_id").isNotNull()
+
+
+def _plain(points: DataFrame) -> bool:
+    return {t for n, t in points.dtypes if n in AXES} == {"double"}
+
+
 def _origins(points: DataFrame) -> DataFrame:
     return points.groupBy("tile_id").agg(
         F.count(F.lit(1)).alias("n_points"), *[F.min(a).alias(f"_{a}0") for a in AXES]
@@ -88,10 +101,9 @@ def adaptive_sizes(
     afterwards, again all of them per pass. The state is one row per tile.
     Columns tile_id, size_cm, n_points, whole (all points kept).
     """
-    even = [F.coalesce(F.max(F.abs(a)) < WIDEST, F.lit(False)) & (F.count(a) == F.count(F.lit(1))) for a in AXES]
     base = points.groupBy("tile_id").agg(
         F.count(F.lit(1)).alias("n_points"), *[F.min(a).alias(f"_{a}0") for a in AXES],
-        (even[0] & even[1] & even[2] & F.col("tile_id").isNotNull()).alias("_even"),
+        _even().alias("_even"),
     )
     if isinstance(start_cm, DataFrame):
         base = base.join(start_cm.select("tile_id", F.col("size_cm").alias("lo")), "tile_id")
@@ -100,8 +112,7 @@ def adaptive_sizes(
     whole = (F.col("n_points") <= most) if keep_if_small else F.lit(False)
     frame = ["tile_id", *[f"_{a}0" for a in AXES]]
     fixed = [*frame, "n_points", "first", "whole"]
-    plain = {t for n, t in points.dtypes if n in AXES} == {"double"}
-    few = F.col("_even") & (F.col("n_points") <= (POINTS_SEARCHED if plain else 0)) & F.col("lo").isNotNull()
+    few = F.col("_even") & (F.col("n_points") <= (POINTS_SEARCHED if _plain(points) else 0)) & F.col("lo").isNotNull()
     base = cut_lineage(base.withColumn("_few", F.coalesce(few, F.lit(False)) | whole).withColumn("whole", whole))
     sorts = base.agg(
         F.count(F.when(F.col("_few") & ~F.col("whole"), 1)).alias("few"), F.count(F.when(~F.col("_few"), 1)).alias("many"),
@@ -180,7 +191,8 @@ def _occupied(xyz: np.ndarray, least: np.ndarray, size: float, ratio: float) ->
     spans = [i.max() + 1 for i in index]
     if spans[0] * spans[1] * spans[2] >= 2.0**53:
         return len(np.unique(np.column_stack(index), axis=0))
-    return len(np.unique((index[0] * spans[1] + index[1]) * spans[2] + index[2]))
+    codes = np.sort((index[0] * spans[1] + index[1]) * spans[2] + index[2])
+    return 1 + np.count_nonzero(codes[1:] != codes[:-1])
 
 
 def _fitting_size(count, first: float, most: int, ratio: float, rounds: int, width: float, growth_passes: int) -> float:
@@ -236,9 +248,110 @@ def _searched(points: DataFrame, tiles: DataFrame, rows: int, most, ratio, round
     return met.applyInArrow(search, f"tile_id {kind}, size_cm double, n_points long, whole boolean")
 
 
+def _nearest_centre(tile: np.ndarray, xyz: list[np.ndarray], pid: np.ndarray, least: list[np.ndarray], size: np.ndarray, ratio: float, copies: bool) -> np.ndarray:
+    """V1 for rows of many tiles: the rows kept, per voxel one or (``copies``) all that equal it.
+
+    ``least`` and ``size`` (metres) are those of each row's tile.
+    """
+    index = [np.floor((xyz[c] - least[c]) / (size * (ratio if a == "z" else 1.0))) for c, a in enumerate(AXES)]
+    order = np.lexsort((*index[::-1], tile))
+    new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in (tile, *index)], axis=0)])[: len(order)]
+    starts, voxel = np.flatnonzero(new), np.cumsum(new) - 1
+    if not len(starts):
+        return order
+    n = np.diff(starts, append=len(order))
+    off = sum((xyz[c][order] - (np.add.reduceat(xyz[c][order], starts) / n)[voxel]) ** 2 for c in range(3))
+    # Half up at nine places, as the engine rounds; large numbers have no such places.
+    off = np.where(off < 2.0**22, np.floor(off * 1e9 + 0.5) / 1e9, off)
+    near = np.flatnonzero(off == np.minimum.reduceat(off, starts)[voxel])
+    rows, of = order[near], voxel[near]
+    keys = [pid[rows], *(xyz[c][rows] for c in range(3))]
+    by = np.lexsort((*keys[::-1], of))
+    rows, of, keys = rows[by], of[by], [k[by] for k in keys]
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    if not copies:
+        return rows[first]
+    run = np.cumsum(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in (of, *keys)], axis=0)]))
+    return rows[run == run[first][of]]
+
+
+class _Thinning:
+    """V3 and V4 for tiles of few points, whose rows meet in a call: the rows kept for each cap, the largest first."""
+
+    def __init__(self, caps, start_cm, ratio=1.0, keep_if_small=True, rounds=10, width=0.5, growth_passes=400):
+        self.caps, self.start, self.ratio, self.small = sorted(caps, reverse=True), float(start_cm), ratio, keep_if_small
+        self.search = rounds, width, growth_passes
+
+    def kept(self, tile: np.ndarray, xyz: list[np.ndarray], pid: np.ndarray, copies: bool = False) -> list[np.ndarray]:
+        """Row numbers per cap; ``tile`` has the tiles' numbers, ``pid`` numbers of the points' order."""
+        order = np.argsort(tile, kind="stable")
+        starts = np.flatnonzero(np.diff(tile[order], prepend=-1))
+        n = np.diff(starts, append=len(order))
+        if not len(starts):
+            return [order for _ in self.caps]
+        of = np.repeat(np.arange(len(starts)), n)
+        axes = [x[order] for x in xyz]
+        least = [np.minimum.reduceat(x, starts) for x in axes]
+        size, found = np.full(len(starts), self.start), []
+        for cap in self.caps:
+            whole = (n <= cap) & self.small
+            for t in np.flatnonzero(~whole):
+                mine = [x[starts[t] : starts[t] + n[t]] for x in axes]
+                corner = [x[t] for x in least]
+                count = lambda cm: _occupied(mine, corner, cm / 100, self.ratio)
+                size[t] = _fitting_size(count, size[t], cap, self.ratio, *self.search)
+            cut = np.flatnonzero(~whole[of])
+            t = of[cut]
+            thin = _nearest_centre(t, [x[cut] for x in axes], pid[order][cut], [x[t] for x in least], size[t] / 100, self.ratio, copies)
+            found.append(order[np.concatenate([np.flatnonzero(whole[of]), cut[thin]])])
+        return found
+
+
+def _numbered(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a table's rows: numbers of their tiles, the coordinates, and numbers of the points' order."""
+    tile = _codes([table["tile_id"]], [table["tile_id"].slice(0, 0)])[0]
+    return tile, [table[a].to_numpy() for a in AXES], _numbers(table["pid"])[0]
+
+
+def _met(rows: DataFrame, number: int, work, schema) -> DataFrame:
+    """``work`` on the rows of whole tiles, many tiles a call; ``number``: how many rows there are."""
+    calls = lambda batches: (
+        batch for held in [list(batches)] if sum(b.num_rows for b in held) for batch in work(pa.Table.from_batches(held).combine_chunks()).to_batches()
+    )
+    return rows.repartition(max(1, math.ceil(number / ROWS_MET)), "tile_id").mapInArrow(calls, schema)
+
+
+def _by_size(points: DataFrame, *more: Column) -> tuple[DataFrame, int, int]:
+    """(tile_id, _few, n_points and ``more``) of the tiles, the points of those with few, and the number of the others."""
+    few = F.coalesce(_even() & (F.count(F.lit(1)) <= (POINTS_SEARCHED if _plain(points) else 0)), F.lit(False))
+    tiles = points.where(F.col("tile_id").isNotNull()).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_points"), few.alias("_few"), *more)
+    tiles = cut_lineage(tiles)
+    sums = tiles.agg(
+        F.coalesce(F.sum(F.when(F.col("_few"), F.col("n_points"))), F.lit(0)).alias("rows"), F.count(F.when(~F.col("_few"), 1)).alias("many")
+    ).first()
+    return tiles, sums["rows"], sums["many"]
+
+
+def _of(points: DataFrame, tiles: DataFrame, few: bool) -> DataFrame:
+    some = tiles.where(F.col("_few") if few else ~F.col("_few")).select("tile_id")
+    return points.join(some, "tile_id", "left_semi").select(points.columns)
+
+
 def adaptive_downsample(points: DataFrame, most: int, start_cm: float = 4.0, ratio: float = 1.0, **options) -> DataFrame:
-    """V3: downsample every tile once, with its own final size."""
-    return _apply_sizes(points, adaptive_sizes(points, most, start_cm, ratio, **options), ratio)
+    """V3: downsample every tile once, with its own final size.
+
+    Tiles of few points are searched and thinned by one call, many tiles a call: their points travel once.
+    """
+    tiles, rows, many = _by_size(points)
+    thinning, parts = _Thinning([most], start_cm, ratio, **options), []
+    if many:
+        large = _of(points, tiles, False)
+        parts.append(_apply_sizes(large, adaptive_sizes(large, most, start_cm, ratio, **options), ratio))
+    if rows or not many:
+        work = lambda table: table.take(pa.array(thinning.kept(*_numbered(table))[0]))
+        small = _of(points, tiles, True) if many else points.where(F.col("tile_id").isNotNull())
+        parts.append(_met(small, rows, work, points.schema))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _apply_sizes(points, sizes, ratio):
@@ -251,15 +364,37 @@ def _apply_sizes(points, sizes, ratio):
 def downsample_to_caps(points: DataFrame, caps: list[int], start_cm: float = 4.0, ratio: float = 1.0, **options):
     """V4: one boolean column ``keep_<cap>`` per cap, the largest first.
 
-    Each search starts from the size the previous cap ended with.
+    Each search starts from the size the previous cap ended with. Tiles of few points go through all caps in one call.
     """
+    tiles, rows, many = _by_size(points)
+    thinning, parts = _Thinning(caps, start_cm, ratio, **options), []
+    names = [f"keep_{cap}" for cap in thinning.caps]
+
+    def work(table: pa.Table) -> pa.Table:
+        for name, kept in zip(names, thinning.kept(*_numbered(table), copies=True)):
+            flags = np.zeros(len(table), bool)
+            flags[kept] = True
+            table = table.append_column(name, pa.array(flags))
+        return table
+
+    if many:
+        parts.append(_flagged(_of(points, tiles, False), thinning.caps, start_cm, ratio, **options))
+    if rows or not many:
+        schema = StructType([*points.schema.fields, *[StructField(n, BooleanType()) for n in names]])
+        small = _of(points, tiles, True) if many else points.where(F.col("tile_id").isNotNull())
+        parts.append(_met(small, rows, work, schema))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _flagged(points: DataFrame, caps: list[int], start_cm: float, ratio: float, **options) -> DataFrame:
+    """V4 for tiles of many points, a cap at a time."""
     start, flags = start_cm, points
     key = ["tile_id", "pid", *AXES]
-    for cap in sorted(caps, reverse=True):
+    for cap in caps:
         sizes = adaptive_sizes(points, cap, start, ratio, **options)
-        kept = _apply_sizes(points, sizes, ratio).select(*key).withColumn(f"keep_{cap}", F.lit(True))
-        flags = cut_lineage(flags.join(kept, key, "left").withColumn(
-            f"keep_{cap}", F.coalesce(F.col(f"keep_{cap}"), F.lit(False))
+        kept = _apply_sizes(points, sizes, ratio).select(*key).distinct().withColumn(f"keep_{cap}", F.lit(True))
+        flags = written(flags.join(kept, key, "left").select(
+            *flags.columns, F.coalesce(F.col(f"keep_{cap}"), F.lit(False)).alias(f"keep_{cap}")
         ))
         start = sizes
     return flags
