@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tileloom.operators.neighbors import _codes, _numbers
 from tileloom.operators.ranks import spare
@@ -400,12 +400,16 @@ def _flagged(points: DataFrame, caps: list[int], start_cm: float, ratio: float,
     return flags
 
 
-def cloud_digests(points: DataFrame) -> DataFrame:
-    """(tile_id, digest): equal for equal sets of rows (pid, x, y, z), whatever their order and partitions."""
+def _digest() -> Column:
     row = F.xxhash64("pid", *AXES)
     again = F.xxhash64(F.lit("again"), "pid", *AXES)
     parts = [F.count(F.lit(1)).cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string"), F.sum(again.cast("decimal(38,0)")).cast("string")]
-    return points.groupBy("tile_id").agg(F.concat_ws("_", *parts).alias("digest"))
+    return F.concat_ws("_", *parts).alias("digest")
+
+
+def cloud_digests(points: DataFrame) -> DataFrame:
+    """(tile_id, digest): equal for equal sets of rows (pid, x, y, z), whatever their order and partitions."""
+    return points.groupBy("tile_id").agg(_digest())
 
 
 def still_valid(stored: DataFrame, digests: DataFrame) -> DataFrame:
@@ -423,15 +427,78 @@ def downsample_with_masks(
     The masks that come back are valid for ``points`` and may be stored in place of the old ones.
     """
     key = ["tile_id", "pid", *AXES]
-    digests = cut_lineage(cloud_digests(points))
+    tiles, rows, many = _by_size(points, _digest())
     same = (F.col("cap") == most) & (F.col("start_cm") == float(start_cm)) & (F.col("ratio") == float(ratio))
-    good = cut_lineage(still_valid(stored.where(same), digests).select("digest", *key).distinct())
-    done = good.select("tile_id").distinct()
-    reused = points.join(good.select(*key), key, "left_semi")
-    fresh = adaptive_downsample(points.join(done, "tile_id", "left_anti"), most, start_cm, ratio, **options)
-    kept = cut_lineage(reused.unionByName(fresh))
+    masks = stored.where(same).select("digest", *key)
+    parts = []
+    if many:
+        large, digests = _of(points, tiles, False), tiles.where(~F.col("_few")).select("tile_id", "digest")
+        good = written(still_valid(masks, digests).select("digest", *key).distinct())
+        done = good.select("tile_id").distinct()
+        reused = large.join(good.select(*key), key, "left_semi")
+        fresh = adaptive_downsample(large.join(done, "tile_id", "left_anti"), most, start_cm, ratio, **options)
+        parts.append(reused.unionByName(fresh).join(digests, "tile_id").select(*points.columns, F.col("digest").alias(spare(points, "_digest")[0])))
+    if rows or not many:
+        small = _of(points, tiles, True) if many else points.where(F.col("tile_id").isNotNull())
+        parts.append(_met_with_masks(small, rows, masks, tiles.where("_few"), _Thinning([most], start_cm, ratio, **options)))
+    both = written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     settings = [F.lit(most).alias("cap"), F.lit(float(start_cm)).alias("start_cm"), F.lit(float(ratio)).alias("ratio")]
-    return kept, kept.join(digests, "tile_id").select("tile_id", *settings, "digest", "pid", *AXES)
+    digest = F.col(spare(points, "_digest")[0]).alias("digest")
+    return both.select(points.columns), both.select("tile_id", *settings, digest, "pid", *AXES)
+
+
+def _met_with_masks(points: DataFrame, number: int, masks: DataFrame, tiles: DataFrame, thinning: _Thinning) -> DataFrame:
+    """The kept points of tiles of few points, with their tile's digest: points, masks and digests of many tiles share a
+    call, in which a mask of the tile's digest is used, and a tile without one is searched and thinned."""
+    digest, kind = spare(points, "_digest", "_kind")
+    own = points.columns
+    types = dict(points.dtypes)
+    key = [F.col(n).try_cast(types[n]).alias(n) for n in ("tile_id", "pid", *AXES)]
+    stored = masks.select(*key, F.col("digest").alias(digest), F.lit(1).alias(kind)).where("pid is not null and tile_id is not null")
+    known = tiles.select("tile_id", F.col("digest").alias(digest), F.lit(2).alias(kind))
+    rows = points.withColumn(kind, F.lit(0))
+    for df in (stored, known):
+        rows = rows.unionByName(df, allowMissingColumns=True)
+
+    def work(table: pa.Table) -> pa.Table:
+        of, tile, told = table[kind].to_numpy(), *_codes_of(table, "tile_id", digest)
+        now = np.full(tile.max() + 1, -1, np.int64)
+        now[tile[of == 2]] = told[of == 2]
+        good = np.flatnonzero((of == 1) & (told == now[tile]))
+        done = np.zeros(len(now), bool)
+        done[tile[good]] = True
+        asked = np.flatnonzero((of == 0) & done[tile])
+        kept = [asked[_among(table, tile, asked, good)]]
+        fresh = np.flatnonzero((of == 0) & ~done[tile])
+        if len(fresh):
+            some = table.select(["tile_id", "pid", *AXES]).take(pa.array(fresh))
+            kept.append(fresh[thinning.kept(*_numbered(some))[0]])
+        found = np.concatenate(kept)
+        digests = table[digest].take(pa.array(np.flatnonzero(of == 2)))
+        at = np.zeros(len(now), np.int64)
+        at[tile[of == 2]] = np.arange(len(digests))
+        return table.select(own).take(pa.array(found)).append_column(digest, digests.take(pa.array(at[tile[found]])))
+
+    return _met(rows, number, work, StructType([*points.schema.fields, StructField(digest, StringType())]))
+
+
+def _codes_of(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Each column's values as numbers, equal for equal values."""
+    return [pc.dictionary_encode(table[n], null_encoding="encode").combine_chunks().indices.to_numpy().astype(np.int64) for n in names]
+
+
+def _among(table: pa.Table, tile: np.ndarray, asked: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Which of the rows ``asked`` equal a row of ``given`` in tile, pid and coordinates."""
+    rows = np.concatenate([asked, given])
+    some = table.select(["pid", *AXES]).take(pa.array(rows))
+    keys = [tile[rows], _numbers(some["pid"])[0], *(some[a].to_numpy() for a in AXES)]
+    by = np.lexsort(keys[::-1])
+    run = np.cumsum(np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)])[: len(by)])
+    held = np.zeros(len(rows) + 1, bool)
+    held[run[by >= len(asked)]] = True
+    out = np.zeros(len(rows), bool)
+    out[by] = held[run]
+    return out[: len(asked)]
 
 
 def octree_lowest(points: DataFrame, depth: int) -> DataFrame:
