@@ -9,7 +9,7 @@ from tileloom.operators import imagery, neighbors, normalize, quality
 from tileloom.operators.ranks import lowest_n, spare
 from tileloom.operators.spatial import tiles_on_polygons
 from tileloom.operators.voxel import cloud_digests, downsample_with_masks, still_valid
-from tileloom.session import cut_lineage
+from tileloom.session import cut_lineage, written
 
 
 MASKS = "tile_id string, cap int, start_cm double, ratio double, digest string, pid long, x double, y double, z double"
@@ -51,6 +51,11 @@ def split_statistics(split: DataFrame) -> DataFrame:
     return split.groupBy("split", "reason_code").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
+def _needed(attributes: list[str]) -> list[str]:
+    """The columns of points that the job reads."""
+    return list(dict.fromkeys(["tile_id", "cloud", "pid", "x", "y", "z", *attributes]))
+
+
 def precompute(
     tiles: DataFrame, points: DataFrame, pixels: DataFrame, attributes: list[str], survey_date: str,
     point_stats: DataFrame, radar_stats: DataFrame, max_sparse: int = 10000, max_dense: int = 40000,
@@ -62,6 +67,7 @@ def precompute(
     ``masks`` and ``graphs`` are what an earlier run returned under these names: masks and edges of tiles
     whose cloud and settings are the same are used again, those of other tiles are made anew.
     """
+    points = points.select(*_needed(attributes))
     sparse = quality.cap_points(points.where(F.col("cloud") == "dep"), "dep", max_sparse, seed)
     uav = points.where(F.col("cloud") == "uav")
     if masks is None:
@@ -74,15 +80,16 @@ def precompute(
         "tile_id", "cloud", "pid", F.col("x_norm").alias("x"), F.col("y_norm").alias("y"), F.col("z_norm").alias("z"),
         *[f"{a}_norm" for a in attributes], "center_x", "center_y", "center_z", "scale_x", "scale_y",
     )
-    # Capped and thinned: far smaller than the input, and read by every output below.
-    kept = cut_lineage(quality.cap_height(cut_lineage(frame), cap_z))
+    # Capped and thinned: far smaller than the input, and read by every output below. A second table without the
+    # few tiles that are too high would take as much again.
+    kept = quality.cap_height(written(frame), cap_z)
     cloud = kept.where(F.col("cloud") == "dep")
     digests = cut_lineage(cloud_digests(cloud))
     old = None if graphs is None else cut_lineage(still_valid(graphs.where(F.col("k") == k), digests))
     todo = cloud if old is None else cloud.join(old.select("tile_id").distinct(), "tile_id", "left_anti")
     edges = neighbors.edge_table(todo, k).join(digests, "tile_id")
-    edges = cut_lineage(edges if old is None else edges.unionByName(old.select(edges.columns)))
-    alive = kept.select("tile_id").distinct()
+    edges = written(edges if old is None else edges.unionByName(old.select(edges.columns)))
+    alive = cut_lineage(kept.select("tile_id").distinct())
     optical = normalize.scale_optical(
         pixels.where(F.col("sensor") == "naip").join(alive, "tile_id", "left_semi")
     )
@@ -104,9 +111,12 @@ def split_and_precompute(
     attributes: list[str], survey_date: str, test_ratio: float = 0.6, seed="123", **options,
 ) -> dict[str, DataFrame]:
     """T4: split, statistics over all three valid sets, then one precompute job for all."""
+    # A row per tile, read by several steps: the checks are made once.
+    checked = written(checked)
     split = cut_lineage(split_tiles(checked, polys, width, test_ratio, seed))
     used = split.where(F.col("split") != "invalid").select("tile_id")
-    pts = points.join(used, "tile_id", "left_semi")
+    # Written once, tile by tile: the statistics and every step of the job read them.
+    pts = written(points.select(*_needed(attributes)).join(used, "tile_id", "left_semi"))
     px = pixels.join(used, "tile_id", "left_semi")
     point_stats = normalize.attribute_statistics(pts, attributes)
     radar_stats = normalize.band_statistics(px.where(F.col("sensor") == "uavsar"), "uavsar")
