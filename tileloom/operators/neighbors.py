@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tileloom.operators.ranks import spare
-from tileloom.session import cut_lineage
+from tileloom.session import cut_lineage, written
 
 AXES = ("x", "y", "z")
 LEAF = 64
@@ -503,11 +503,13 @@ def both_ways(
         if carry:
             theirs = answers.select(*key, *[F.col(c).alias(f"n_{c}") for c in (*AXES, "pid", *carry)])
             found = found.join(theirs.dropDuplicates(match), match)
-        if "n_shared" in want:
-            found = found.join(found.groupBy(*match).agg(F.count(F.lit(1)).alias("n_shared")), match)
         if "d1" in want:
             gaps = [F.abs(F.col(c) - F.col(f"n_{c}")) for c in AXES]
             found = found.withColumn("d1", gaps[0] + gaps[1] + gaps[2])
+        if "n_shared" in want:
+            # Written once: the descent is long, and its rows are read twice.
+            found = written(found.select(*dict.fromkeys([*match, *[n for n in want if n != "n_shared"]])))
+            found = found.join(found.groupBy(*match).agg(F.count(F.lit(1)).alias("n_shared")), match)
         return found.select(*want)
 
     if {t for n, t in base.dtypes if n in AXES} != {"double"} or b in models:
